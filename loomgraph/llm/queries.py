@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomgraph.llm import mixing, nbsvm, url_filter
+from loomgraph.llm import edit_embedding, ego_join, mixing, nbsvm, packing, simhash, url_filter
 from loomgraph.runtime import table
 
 
@@ -39,11 +39,51 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM j WH
 """
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, vocabulary())
+
+
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.cosine_links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("embedding")
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a
+), c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.next_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.simhash_groups(docs).select("doc_id", "fingerprint", "component_id")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", _fold(5) == 0)
     learn = table(spark, sf_dir, "labels").where(_fold(5) != 0)
@@ -53,10 +93,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op4_packing": op4_packing,
+    "op6_embeddings": op6_embeddings,
+    "op7_fingerprints": op7_fingerprints,
     "op8_mixing": op8_mixing,
+    "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
 
 ORACLES = {
     "op2_url_filter": OP2_SQL,
+    "op6_embeddings": OP6_SQL,
 }

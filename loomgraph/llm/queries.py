@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomgraph.llm import edit_embedding, ego_join, mixing, nbsvm, packing, simhash, url_filter
+from loomgraph.llm import edit_embedding, ego_join, mixing, nbsvm, packing, simhash, suffix_dedup, url_filter
 from loomgraph.runtime import table
 
 
@@ -50,6 +50,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, vocabulary())
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego_join.cosine_links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("embedding")
 
@@ -94,6 +99,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op4_packing": op4_packing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_embeddings": op6_embeddings,
     "op7_fingerprints": op7_fingerprints,
     "op8_mixing": op8_mixing,

@@ -187,25 +187,27 @@ def train(texts: pa.Array, labels: np.ndarray, alpha: float = 1.0, cost: float =
     return Model((w * ratio).astype(np.float32), a, b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model:
-    """Train on the `fit_rows` labelled documents of least hash of their id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> pa.Table:
+    """(text, label) of the `fit_rows` labelled documents of least hash of their id.
 
     Which they are is decided on the labels alone; their texts then come from a
     scan of `docs` with a broadcast of that many ids, so no text is shuffled.
+    Labels other than 0 and 1 and null ids are left out; of several labels of
+    one id the largest counts.
     """
-    chosen = (
-        labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
-        .groupBy(id_col)
-        .agg(F.max(label).alias("label"))
-        .orderBy(F.xxhash64(id_col, F.lit(11)), id_col)
-        .limit(fit_rows)
-    )
-    rows = docs.select(id_col, "text").join(F.broadcast(chosen), id_col).orderBy(F.xxhash64(id_col, F.lit(11)), id_col, "text").limit(fit_rows).select("text", "label").toArrow()
+    order = F.xxhash64(id_col, F.lit(11))
+    chosen = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("label")).orderBy(order, id_col).limit(fit_rows)
+    return docs.select(id_col, "text").join(F.broadcast(chosen), id_col).orderBy(order, id_col, "text").limit(fit_rows).select("text", "label").toArrow()
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model:
+    """Train on a bounded sample of the labelled documents."""
+    rows = labelled_sample(docs, labels, label, id_col, fit_rows)
     return train(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), np.asarray(rows.column("label")))
 
 
-def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """`docs` with score (0 to 1) and predicted (1 if score >= threshold, else 0).
+def classify(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
+    """`docs` with a model's score (0 to 1) and predicted (1 if score >= threshold, else 0).
 
     Null and empty texts are scored as texts without words. Repeated rows get
     equal scores. Columns named score or predicted are replaced.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomgraph.llm import edit_embedding, ego_join, mixing, nbsvm, packing, simhash, suffix_dedup, url_filter
+from loomgraph.llm import crf_language, edit_embedding, ego_join, mixing, nbsvm, packing, simhash, suffix_dedup, url_filter, weak_toxicity
 from loomgraph.runtime import table
 
 
@@ -12,6 +12,13 @@ def _fold(modulus: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", _fold(4) == 2)
+    learn = table(spark, sf_dir, "labels").where(_fold(4) != 2)
+    model = weak_toxicity.fit(docs.where("NOT held_out"), learn, "toxic")
+    return nbsvm.classify(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
@@ -39,6 +46,12 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM j WH
 """
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", _fold(5) == 0)
+    field = crf_language.fit(docs.where("NOT held_out"))
+    return crf_language.identify(docs.drop("lang"), field).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -97,7 +110,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
+    "op3_language": op3_language,
     "op4_packing": op4_packing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_embeddings": op6_embeddings,

@@ -101,3 +101,25 @@ def crc32_of_ids(ids: np.ndarray) -> np.ndarray:
     import zlib
 
     return np.array([zlib.crc32(str(int(i)).encode()) for i in ids], np.int64)
+
+
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
+LETTER[128:] = True
+
+
+def letter_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every run of ASCII letters and non-ASCII bytes, no run crossing rows."""
+    if not len(data):
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    inside = LETTER[data]
+    edge = np.zeros(len(data), bool)
+    edge[off[:-1][off[:-1] < off[1:]]] = True
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:]
+    start = np.flatnonzero(first)
+    stop = np.zeros(len(data) + 1, bool)
+    stop[1:] = inside
+    stop[1:-1] &= ~inside[1:] | edge[1:]
+    return start, np.flatnonzero(stop), np.searchsorted(off, start, "right") - 1

@@ -91,14 +91,19 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 12) -> LabelModel:
-    """Fit by expectation maximisation from the posteriors `start`."""
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 12, given: int = -1, trust: float = 0.98) -> LabelModel:
+    """Fit by expectation maximisation from the posteriors `start`.
+
+    The voter `given` (the labels) fires rightly in `trust` of either class at
+    least and isn't discounted: the others refine the labels, they don't redefine them.
+    """
     p = np.clip(start.astype(float), 0.02, 0.98)
     fires, there = (votes == 1).astype(float), (votes >= 0).astype(float)
     model = LabelModel(np.zeros((2, votes.shape[1])), 0.5, np.ones(votes.shape[1]))
     for _ in range(rounds):
         weight = np.stack([1 - p, p])
         model.rate = (weight @ fires + np.array([[0.2], [0.2]])) / (weight @ there + 1.0)
+        model.rate[1, given], model.rate[0, given] = max(model.rate[1, given], trust), min(model.rate[0, given], 1 - trust)
         model.prior = float(np.clip((p.sum() + 1) / (len(p) + 2), 1e-3, 1 - 1e-3))
         # correlation of two voters within the classes
         gap = np.where(there > 0, fires - (p[:, None] * model.rate[1] + (1 - p[:, None]) * model.rate[0]), 0.0)
@@ -107,6 +112,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 12) -> Label
         corr = cov / sd[:, None] / sd[None, :]
         np.fill_diagonal(corr, 0.0)
         model.discount = 1 / (1 + np.where(corr > 0.1, corr, 0.0).sum(1))
+        model.discount[given] = 1.0
         new = model.posterior(votes)
         moved = float(np.abs(new - p).max())
         p = np.clip(new, 1e-6, 1 - 1e-6)

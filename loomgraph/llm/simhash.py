@@ -1,12 +1,13 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-The 64-bit fingerprints are cut into two segments. Of two fingerprints that
-differ in at most two bits, one segment differs in at most one: both hold the
-same segment variant with that bit left out. Every distinct fingerprint is
-indexed under its one-wildcard variants of both segments, an equality join
-finds those that share one, and the whole fingerprints are then compared.
-Variants shared by very many fingerprints go another exact way, in which no
-group holds more than four.
+The 64-bit fingerprints are cut into segments, few enough that of two
+fingerprints within the distance (two bits: two segments; five: three) one
+segment differs in at most one bit: both hold the same segment variant with
+that bit left out. Every distinct fingerprint is indexed under its one-wildcard
+variants of all segments, an equality join finds those that share one, and the
+whole fingerprints are then compared. Variants shared by very many fingerprints
+go another exact way: at two bits by groups of at most four, beyond in blocks
+that only report what connects them.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from loomgraph.runtime import materialize
 #: Largest group of one variant whose members are compared with each other.
 PAIRED = 32
 
+#: Members of a crowded variant that are compared in one block.
+CROWD_BLOCK = 4096
+
 #: Shingles hashed at a time.
 _BLOCK = 1 << 16
 
@@ -56,15 +60,46 @@ def fingerprints(text: Column, width: int = 3, seed: int = 42) -> Column:
     return of(text)
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """(src, dst): edges between distinct fingerprints `fp` that differ in at most two bits.
+def _block_links(distance: int):
+    """A group function: edges that connect a tile's fingerprints as its pairs within the distance do."""
+
+    def run(table: pa.Table) -> pa.Table:
+        fp = np.asarray(table.column("fp").combine_chunks()).view(np.uint64)
+        part = np.asarray(table.column("block").combine_chunks())
+        a, b = table.column("tile")[0].as_py().values()
+        left, right = fp[part == a], fp[part == b]
+        at_left, at_right = np.flatnonzero(part == a), np.flatnonzero(part == b)
+        root = np.arange(len(fp))
+        step = max(1, (1 << 22) // max(1, len(right)))
+        while True:
+            new = root.copy()
+            for i in range(0, len(left), step):
+                near = np.bitwise_count(left[i : i + step, None] ^ right[None, :]) <= distance
+                mine = at_left[i : i + step]
+                low = np.where(near, new[at_right][None, :], len(fp)).min(1)
+                new[mine] = np.minimum(new[mine], low)
+                low = np.where(near, new[mine][:, None], len(fp)).min(0)
+                new[at_right] = np.minimum(new[at_right], low)
+            if (new == root).all():
+                break
+            root = new
+        moved = np.flatnonzero(root != np.arange(len(fp)))
+        return pa.table({"src": fp[root[moved]].view(np.int64), "dst": fp[moved].view(np.int64)})
+
+    return run
+
+
+def links(prints: DataFrame, distance: int = 2) -> DataFrame:
+    """(src, dst): edges between distinct fingerprints `fp` that differ in at most `distance` bits.
 
     Every such pair is joined by an edge or, in crowded variants, by a path of
-    edges; no edge joins others.
+    edges; edges join only what links connect.
     """
-    value = [F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32)]
+    cuts = np.linspace(0, 64, distance // 2 + 2).astype(int).tolist()
     keys = [
-        value[s].bitwiseAND(0xFFFFFFFF ^ (1 << i)).bitwiseOR(F.lit((s * 32 + i) << 32)) for s in (0, 1) for i in range(32)
+        F.shiftrightunsigned("fp", lo).bitwiseAND(((1 << (hi - lo)) - 1) ^ (1 << (i - lo))).bitwiseOR(F.lit(i << 32))
+        for lo, hi in zip(cuts, cuts[1:], strict=False)
+        for i in range(lo, hi)
     ]
     variants = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
     shared = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -72,10 +107,18 @@ def links(prints: DataFrame) -> DataFrame:
 
     group = members.where(F.col("n") <= PAIRED).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     near = group.select("fps", F.explode("fps").alias("src")).select(
-        "src", F.explode(F.filter("fps", lambda x: (x > F.col("src")) & (F.bit_count(x.bitwiseXOR(F.col("src"))) <= 2))).alias("dst")
+        "src", F.explode(F.filter("fps", lambda x: (x > F.col("src")) & (F.bit_count(x.bitwiseXOR(F.col("src"))) <= distance))).alias("dst")
     )
+    crowded = members.where(F.col("n") > PAIRED)
+    if distance > 2:
+        blocks = F.ceil(F.col("n") / CROWD_BLOCK)
+        placed = crowded.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+        tile = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("a"), F.greatest("block", o).alias("b")))
+        tiled = placed.select("key", "fp", "block", F.explode(tile).alias("tile"))
+        star = tiled.groupBy("key", "tile").applyInArrow(_block_links(distance), "src long, dst long")
+        return near.unionAll(star).distinct()
     # Two wildcards over all 64 bits leave at most four fingerprints to a key, all within two bits.
-    crowd = members.where(F.col("n") > PAIRED).select("fp").distinct()
+    crowd = crowded.select("fp").distinct()
     ij = F.explode(F.sequence(F.lit(0), F.lit(4095))).alias("ij")
     wild = crowd.select("fp", ij).where("(ij >> 6) < (ij & 63)")
     mask = F.expr("shiftleft(1L, ij >> 6) | shiftleft(1L, ij & 63)")
@@ -84,10 +127,10 @@ def links(prints: DataFrame) -> DataFrame:
     return near.unionAll(star).distinct()
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, distance: int = 2) -> DataFrame:
     """(id, fp, fingerprint, component_id) of every row of `docs`.
 
-    Rows whose fingerprints differ in at most two bits link; component_id is
+    Rows whose fingerprints differ in at most `distance` bits link; component_id is
     the least id reachable by links. Null, empty and blank texts have
     fingerprint zero and link like any other. Rows with a null id take part;
     a group of such rows only has a null component_id. Repeated rows each get
@@ -95,7 +138,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     slim = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), width, seed).alias("fp")))
     prints = materialize(slim.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = connected_components(links(prints)).withColumnRenamed("id", "fp")
+    found = connected_components(links(prints, distance)).withColumnRenamed("id", "fp")
     grouped = materialize(found.join(prints, "fp"))
     roots = grouped.groupBy("component_id").agg(F.min("least").alias("root"))
     linked = grouped.join(roots, "component_id").select("fp", "root")
@@ -105,13 +148,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def dedupe(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def dedupe(docs: DataFrame, id_col: str = "doc_id", width: int = 5, distance: int = 5) -> DataFrame:
     """`docs` with one document of each group: that of the least id.
 
     Rows that repeat an id are one document and one of them stays. Rows with a
-    null id stay. Columns are those of `docs`.
+    null id stay. Columns are those of `docs`. Five-word shingles within five
+    bits of 64 are texts whose shingles are alike to well over 0.8; of pairs
+    nearer to 0.8 most fingerprints differ in more bits, and these stay.
     """
-    groups = materialize(simhash_groups(docs, id_col).select(id_col, "component_id"))
+    groups = materialize(simhash_groups(docs, id_col, width=width, distance=distance).select(id_col, "component_id"))
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     kept = docs.join(gone, id_col, "left_anti")
     repeated = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()

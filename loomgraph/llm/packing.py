@@ -11,9 +11,10 @@ rank among those of their length.
 
 from __future__ import annotations
 
+import os
 import unicodedata
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ CAPACITY = 2048
 #: Rows ranked in one group at most, about.
 RANK_ROWS = 4000
 
-#: Distinct pre-tokens a worker keeps.
-CACHE = 400_000
+#: Distinct pre-tokens a worker keeps, words encoded in one call, bytes of text encoded at a time.
+CACHE, JOINED, SLICE_BYTES = 1_000_000, 500, 1 << 20
 
 #: Code points of white space as the vocabulary's pattern takes them (fixed values).
 _BLANKS = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -88,27 +89,43 @@ def pretokens(codes: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of many texts; each distinct pre-token is encoded by the tokenizer once."""
+    """Ids of many texts; each distinct pre-token is encoded by the tokenizer once.
+
+    What is known is four arrays sorted by the pre-token's hash, about 40 bytes
+    an entry; at CACHE entries it starts anew.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.count, self.first, self.ids = [], [], [np.zeros(0, np.uint32)]
-        self.total = 0
-
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        for key, e in zip(keys, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
-            self.index[key] = len(self.count)
-            self.count.append(len(ids))
-            self.first.append(self.total)
-            self.ids.append(ids)
-            self.total += len(ids)
+        self.keys, self.count, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, count of each) of pre-tokens that stay apart when written one after the other: a space and letters."""
+        ids, counts = [], []
+        for i in range(0, len(words), JOINED):
+            part = words[i : i + JOINED]
+            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            ids.append(np.array(e.ids, np.uint32))
+            counts.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
+        return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _learn(self, keys: np.ndarray, words: list[str], spaced: np.ndarray) -> None:
+        apart, others = np.flatnonzero(spaced), np.flatnonzero(~spaced)
+        ids, count = self._words([words[k] for k in apart.tolist()])
+        more = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in others.tolist()], add_special_tokens=False)] if len(others) else []
+        count = np.concatenate([count, np.array([len(x) for x in more], np.int64)])
+        first = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate([self.ids, ids, *(np.array(x, np.uint32) for x in more)])
+        keys = np.concatenate([self.keys, keys[apart], keys[others]])
+        order = np.argsort(keys)
+        self.keys, self.count, self.first = keys[order], np.concatenate([self.count, count])[order], np.concatenate([self.first, first])[order]
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with `end_id` after each, their offsets)."""
@@ -121,18 +138,22 @@ class Encoder:
             end = np.append(start[1:], len(codes)) if len(start) else start
             key = T.Prefix(codes).hash(start, end)
         kinds, where, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.index) > CACHE:
+        if len(self.keys) > CACHE:
             self.clear()
-        listed = kinds.tolist()
-        new = [k for k, x in enumerate(listed) if x not in self.index]
-        self._learn([listed[k] for k in new], [text[start[where[k]] : end[where[k]]] for k in new])
-        if len(self.ids) > 1:
-            self.ids = [np.concatenate(self.ids)]
-        slot = np.array([self.index[x] for x in listed], np.int64)
-        count = np.asarray(self.count, np.int64)[slot][back] if len(slot) else np.zeros(0, np.int64)
-        first = np.asarray(self.first, np.int64)[slot][back] if len(slot) else np.zeros(0, np.int64)
+        slot = np.searchsorted(self.keys, kinds)
+        known = np.zeros(len(kinds), bool)
+        inside = slot < len(self.keys)
+        known[inside] = self.keys[slot[inside]] == kinds[inside]
+        if not known.all():
+            new = where[~known]
+            a, b = start[new], end[new]
+            spaced = (codes[a] == 32) & (b - a > 1)
+            spaced[spaced] = _class_table()[codes[a[spaced] + 1]] == 1
+            self._learn(kinds[~known], [text[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], spaced)
+            slot = np.searchsorted(self.keys, kinds)
+        count, first = self.count[slot][back], self.first[slot][back]
         ahead = np.concatenate([[0], np.cumsum(count)])
-        ids = self.ids[0][np.repeat(first - ahead[:-1], count) + np.arange(ahead[-1])]
+        ids = self.ids[np.repeat(first - ahead[:-1], count) + np.arange(ahead[-1])]
         row = np.searchsorted(at, start, "right") - 1
         size = np.bincount(row, weights=count, minlength=len(off) - 1).astype(np.int64)
         out_off = np.concatenate([[0], np.cumsum(size + 1)])
@@ -141,6 +162,12 @@ class Encoder:
         return out, out_off
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(path)
+
+
 PIECES = "piece int, start long, length long, ids binary"
 
 
@@ -155,10 +182,10 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path)
+        coder = _encoder(path)
         for batch in batches:
             data, off = T.flat(batch.column(1))
-            for i, j in T.slices(off):
+            for i, j in T.slices(off, SLICE_BYTES):
                 ids, ptr = coder.encode(data[off[i] : off[j]], off[i : j + 1] - off[i], end_id)
                 rows, piece, start, length, raw = [], [], [], [], []
                 for r in range(j - i):

@@ -27,11 +27,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    _, offsets, data = column.buffers()
-    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    if not len(off):
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    off = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[off[0] : off[-1]], off - off[0]
 

@@ -36,7 +36,9 @@ BANDS, ROWS = 24, 3
 BAND_BLOCK = 256
 
 #: Documents of one neighbourhood group, about.
-GROUP = 3000
+GROUP = 1500
+
+_BLOCK = 1 << 20
 
 
 def _priority(steps: np.ndarray) -> np.ndarray:
@@ -75,17 +77,18 @@ def embed(texts: list[str]) -> list[str]:
     codes = np.frombuffer("\0".join([texts[i] for i in order] + [""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = n[order]
     base = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
-    with np.errstate(over="ignore"):
-        h = T.mix(codes.astype(np.uint64) + np.uint64(1))
-        end = base + size
-        h[end] = 0
-        kind = (h % np.uint64(255)).astype(np.uint8)
-        kind[end] = 255
-        wide = np.concatenate([h, np.zeros(2, np.uint64)])
-        third = wide[2:].copy()
-        third[end[size > 0] - 1] = 0
-        symbol = (T.mix(h * np.uint64(3) + wide[1:-1] * np.uint64(5) + third[: len(h)] * np.uint64(7)) % np.uint64(255)).astype(np.uint8) + 1
-    symbol[end] = 0  # only past the end
+    end = base + size
+    kind, symbol = np.empty(len(codes), np.uint8), np.empty(len(codes), np.uint8)
+    for a in range(0, len(codes), _BLOCK):
+        b = min(len(codes), a + _BLOCK)
+        with np.errstate(over="ignore"):
+            # a text's end and what follows it count as one and the same character
+            h = T.mix(np.concatenate([codes[a : b + 2], np.zeros(max(0, b + 2 - len(codes)), np.uint32)]).astype(np.uint64) + np.uint64(1))
+            kind[a:b] = h[:-2] % np.uint64(255)
+            third = np.where(codes[np.minimum(np.arange(a + 1, b + 1), len(codes) - 1)] == 0, np.uint64(0), h[2:])
+            symbol[a:b] = T.mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + third * np.uint64(7)) % np.uint64(255)
+    symbol += 1
+    kind[end], symbol[end] = 255, 0  # only past the end
     total = 3 * size
     kept = [sampled_steps(int(t)) for t in total.tolist()]
     out = np.zeros((len(texts), SAMPLE), np.uint8)

@@ -38,6 +38,11 @@ HANDLE = r"^@?[A-Za-z0-9_.\-]+$"
 NICKNAME_OF = {n: max(g.split(), key=lambda x: (len(x), x)) for g in NICKNAMES for n in g.split()}
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with `value` computed once; inside a lambda an expression is computed for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def words(text: Column) -> Column:
     """Lower-case alphanumeric tokens for shingles."""
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
@@ -45,9 +50,12 @@ def words(text: Column) -> Column:
 
 def shingles(text: Column, k: int = SHINGLE) -> Column:
     """Distinct k-grams of words; a text of fewer words is one shingle, an empty one has none."""
-    w = words(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.array_distinct(F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(grams))
+
+    def grams(w: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.array_distinct(F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(found))
+
+    return let(words(text), grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -57,14 +65,14 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def chunks(body: Column, size: int = CHUNK_WORDS) -> Column:
-    """array<struct<ordinal, text, n_words>>: windows of `size` runs of non-blanks, sliced from the text as it is.
-
-    A window is taken by one regular expression, so what lies between its words
-    is kept; blanks are those of Unicode.
-    """
-    one = rf"(?U)(\S+(?:\s+\S+){{0,{size - 1}}})"
-    found = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(one), 1)
-    return F.transform(found, lambda t, i: F.struct(i.alias("ordinal"), t.alias("text"), F.regexp_count(t, F.lit(r"(?U)\S+")).alias("n_words")))
+    """array<struct<ordinal, n_words, words>>: windows of `size` words, in the JVM; no offsets and no text between words."""
+
+    def cut(w: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(w), F.lit(1)) - 1) / size).cast("int")), lambda i: F.struct(i.alias("ordinal"), F.slice(w, i * size + 1, size).alias("words")))
+        full = F.transform(windows, lambda c: F.struct(c["ordinal"].alias("ordinal"), F.size(c["words"]).alias("n_words"), c["words"].alias("words")))
+        return F.filter(full, lambda c: c["n_words"] > 0)
+
+    return let(F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"(\S+)"), 1), cut)
 
 
 @F.pandas_udf("array<struct<ordinal:int,text:string,char_start:int,char_end:int>>")

@@ -55,10 +55,12 @@ def doc_exact_dups(spark, d):
     return D.exact_duplicates(_docs(spark, d))
 
 
-@register(r"""SELECT doc_id, k - 1 AS ordinal, c[k] AS text, len(regexp_extract_all(c[k], '\S+')) AS n_words
-FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '(\S+(?:\s+\S+){0,499})', 1) AS c FROM documents))""")
+@register(r"""SELECT doc_id, k AS ordinal, len(c) AS n_words, c[1] AS first_word, c[len(c)] AS last_word FROM (SELECT doc_id, k, w[k * 500 + 1:k * 500 + 500] AS c FROM
+(SELECT doc_id, w, unnest(range(0, (len(w) + 499) // 500)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents)))""")
 def doc_chunks(spark, d):
-    return _docs(spark, d).select("doc_id", F.explode(T.chunks(F.col("text"))).alias("c")).select("doc_id", "c.*")
+    cut = O.chunks(_docs(spark, d), "text")
+    words = F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)
+    return cut.select("doc_id", "ordinal", words.alias("w")).select("doc_id", "ordinal", F.size("w").alias("n_words"), F.element_at("w", 1).alias("first_word"), F.element_at("w", -1).alias("last_word"))
 
 
 _MENTION_SQL = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS mention_type, unnest(regexp_extract_all(text, '{p}')) AS surface FROM documents" for k, p in T.MENTIONS)

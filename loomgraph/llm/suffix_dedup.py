@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.llm import textvec as T
-from loomgraph.runtime import materialize
+from loomgraph.runtime import discard, materialize
 
 #: Bytes of a repeat at least, and of an anchor's gram.
 WIDTH, GRAM = 100, 24
@@ -36,15 +36,16 @@ WIDTH, GRAM = 100, 24
 CROWD = 4000
 
 
-def anchors(data: np.ndarray, off: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes of their grams) of the anchors of all texts, in order."""
+def anchors(data: np.ndarray, off: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, T.Prefix]:
+    """(positions, hashes of their grams) of the anchors of all texts, in order, and the prefix sums."""
     n = len(data)
+    prefix = T.Prefix(data)
     if n < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), prefix
     reach = width - gram + 1
     with np.errstate(over="ignore"):
         at = np.arange(n - gram + 1)
-        h = T.Prefix(data).hash(at, at + gram) | np.uint64(1)
+        h = prefix.hash(at, at + gram) | np.uint64(1)
     least = _sliding(h, reach, np.minimum)  # by start of the string
     inside = np.ones(len(least), bool)
     for e in off[1:-1]:
@@ -53,7 +54,7 @@ def anchors(data: np.ndarray, off: np.ndarray, width: int = WIDTH, gram: int = G
     padded = np.concatenate([np.zeros(reach - 1, np.uint64), least, np.zeros(reach - 1, np.uint64)])
     most = _sliding(padded, reach, np.maximum)
     found = np.flatnonzero(most[: len(h)] == h)
-    return found, h[found]
+    return found, h[found], prefix
 
 
 def _sliding(x: np.ndarray, reach: int, best) -> np.ndarray:
@@ -86,7 +87,7 @@ def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(differ.any(1), differ.argmax(1), a.shape[1]), most)
 
 
-def maximal_repeats(left: np.ndarray, left_len: np.ndarray, right_lcp: np.ndarray, width: int, gram: int) -> Iterator[tuple[int, int, list[int]]]:
+def maximal_repeats(left: np.ndarray, left_len: np.ndarray, right_lcp: np.ndarray, width: int, gram: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """(l, r, members) of the maximal repeats of at least `width` bytes through one gram.
 
     Members are given in order of their right contexts; `left` holds their left
@@ -107,8 +108,9 @@ def maximal_repeats(left: np.ndarray, left_len: np.ndarray, right_lcp: np.ndarra
         shared = np.zeros(len(rows), np.int64)
         shared[1:] = _common(left[rows[1:]], left[rows[:-1]], np.minimum(lengths[1:], lengths[:-1]))
         for l, a, b in _intervals(shared.tolist(), max(0, need)):
-            if len(set(child[a : b + 1].tolist())) > 1:
-                yield l, r, rows[a : b + 1].tolist()
+            inner = child[a : b + 1]
+            if inner.min() != inner.max():
+                yield l, r, rows[a : b + 1]
 
 
 def _padded(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,49 +128,62 @@ def _padded(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, length
 
 
-_MEMBERS = "c1 long, c2 long, l int, r int, first boolean, repeat_id long"
+_EXTENTS = "gram long, c1 long, l int, r int"
+_GROUPS = "repeat_id long, l int, r int, gram long, c1 long, doc long, place long, first boolean"
 
 
-def _scan(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Repeat groups of classes that come sorted by gram and right context; a gram's last rows wait for the next batch."""
+def _scan(batches: Iterator[pa.RecordBatch], width: int, gram: int, groups: bool = False) -> Iterator[pa.RecordBatch]:
+    """Repeats of classes that come sorted by gram and right context; a gram's last rows wait for the next batch.
+
+    Reports how far each class is covered to either side by repeats in which it
+    isn't first or, for `groups`, every member of every maximal repeat.
+    """
     held: list[pa.Table] = []
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        gram_of = np.asarray(table.column("gram").combine_chunks())
+        flat = {k: np.asarray(table.column(k).combine_chunks()) for k in ("gram", "c1", "doc", "place")}
         left, left_len = _padded(table.column("left"), width - gram)
         right, right_len = _padded(table.column("right"), width)
-        text = [np.asarray(table.column(k).combine_chunks()) for k in ("doc", "mark", "pos")]
-        time = np.empty(len(gram_of), np.int64)
-        time[np.lexsort(text[::-1])] = np.arange(len(gram_of))
-        c1, c2 = np.asarray(table.column("c1").combine_chunks()), np.asarray(table.column("c2").combine_chunks())
-        lcp = np.zeros(len(gram_of), np.int64)
-        if len(lcp) > 1:
+        n = len(left)
+        time = np.empty(n, np.int64)
+        time[np.lexsort((flat["place"], flat["doc"]))] = np.arange(n)
+        lcp = np.zeros(n, np.int64)
+        if n > 1:
             lcp[1:] = _common(right[1:], right[:-1], np.minimum(right_len[1:], right_len[:-1]))
-        edge = np.concatenate([[0], np.flatnonzero(gram_of[1:] != gram_of[:-1]) + 1, [len(gram_of)]])
+        edge = np.concatenate([[0], np.flatnonzero(flat["gram"][1:] != flat["gram"][:-1]) + 1, [n]])
         size = np.diff(edge)
-        rows, ls, rs, firsts, names = [], [], [], [], []
+        most_l, most_r = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+        found: list[tuple[int, int, np.ndarray]] = []
         two = edge[:-1][size == 2]  # the most common case at once: one interval of two
         if len(two):
             back = _common(left[two], left[two + 1], np.minimum(left_len[two], left_len[two + 1]))
             hit = (back + lcp[two + 1] >= width) & (lcp[two + 1] >= gram)
             two, back = two[hit], back[hit]
-            for side in (0, 1):
-                rows.append(two + side), ls.append(back), rs.append(lcp[two + 1])
-                firsts.append((time[two + side] < time[two + 1 - side])), names.append(np.minimum(c1[two], c1[two + 1]))
+            later = two + (time[two + 1] > time[two])
+            most_l[later], most_r[later] = back, lcp[two + 1]
+            if groups:
+                found += [(int(b), int(lcp[k + 1]), np.array([k, k + 1])) for k, b in zip(two, back, strict=True)]
         for k in np.flatnonzero(size > 2).tolist():
             a, b = int(edge[k]), int(edge[k + 1])
             inner = lcp[a:b].copy()
             inner[0] = 0
             for l, r, members in maximal_repeats(left[a:b], left_len[a:b], inner, width, gram):
-                m = np.asarray(members) + a
-                rows.append(m), ls.append(np.full(len(m), l)), rs.append(np.full(len(m), r))
-                firsts.append(time[m] == time[m].min()), names.append(np.full(len(m), c1[m].min()))
-        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        at = join(rows, np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c1[at]), pa.array(c2[at]), pa.array(join(ls, np.int32)), pa.array(join(rs, np.int32)), pa.array(join(firsts, bool)), pa.array(join(names, np.int64))],
-            ["c1", "c2", "l", "r", "first", "repeat_id"],
-        )
+                m = members + a
+                if groups:
+                    found.append((l, r, m))
+                later = m[time[m] != time[m].min()]
+                most_l[later] = np.maximum(most_l[later], l)
+                most_r[later] = np.maximum(most_r[later], r)
+        if groups:
+            m = np.concatenate([x[2] for x in found]) if found else np.zeros(0, np.int64)
+            count = np.array([len(x[2]) for x in found], np.int64)
+            rep = lambda v, kind: np.repeat(np.array(v, kind), count)
+            first = [x[2][time[x[2]].argmin()] for x in found]
+            name = [int(T.mix(np.array([flat["c1"][f] * 31 + l * 101 + r]).view(np.uint64))[0].view(np.int64)) for f, (l, r, _) in zip(first, found, strict=True)]
+            cols = [rep(name, np.int64), rep([x[0] for x in found], np.int32), rep([x[1] for x in found], np.int32), *(flat[k][m] for k in ("gram", "c1", "doc", "place")), m == rep(first, np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["repeat_id", "l", "r", "gram", "c1", "doc", "place", "first"])
+        at = np.flatnonzero(most_l >= 0)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (flat["gram"][at], flat["c1"][at], most_l[at], most_r[at])], ["gram", "c1", "l", "r"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -194,14 +209,13 @@ def _free() -> None:
         SparkContext._active_spark_context._jvm.System.gc()
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int = CROWD, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(groups, spans) of the byte strings of at least `width` that repeat.
+def _classes(docs: DataFrame, width: int, gram: int, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(text, rows, classes).
 
-    groups: one row per member class of a maximal repeat (repeat_id, c1, c2, l,
-    r, first): l bytes before and r after the anchor of the class's gram.
-    spans: (doc, mark, start, end) of bytes that an earlier occurrence covers;
-    spans of a document may overlap. doc is the id (null: the largest long),
-    mark tells texts that share an id apart.
+    text: (doc, mark, text). rows: (gram, c1, doc, place) of every anchor whose
+    gram occurs again; c1 is the hash of its context, place packs what tells
+    equal ids apart, the position, and the bytes of context after it. classes:
+    rows of one gram and context, with n and the first of them.
     """
     text = docs.select(_doc(id_col).alias("doc"), _mark().alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -209,7 +223,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int =
         for batch in batches:
             data, off = T.flat(batch.column(0))
             for i, j in T.slices(off):
-                _, h = anchors(data[off[i] : off[j]], off[i : j + 1] - off[i], width, gram)
+                _, h, _ = anchors(data[off[i] : off[j]], off[i : j + 1] - off[i], width, gram)
                 key, n = np.unique(h.view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["gram", "n"])
 
@@ -219,68 +233,128 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int =
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, mark = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            doc, mark = np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64)
             data, off = T.flat(batch.column(2))
             for i, j in T.slices(off):
                 local = off[i : j + 1] - off[i]
-                at, h = anchors(data[off[i] : off[j]], local, width, gram)
+                at, h, prefix = anchors(data[off[i] : off[j]], local, width, gram)
                 row = np.searchsorted(local, at, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(doc[i + row]), pa.array(mark[i + row].astype(np.int64) << 32 | (at - local[row]))], ["gram", "doc", "place"]
-                )
+                back, ahead = np.minimum(at - local[row], width - gram), np.minimum(local[row + 1] - at, width)
+                with np.errstate(over="ignore"):
+                    around = T.mix(prefix.hash(at - back, at + ahead) + back.astype(np.uint64))
+                place = mark[i + row] << 39 | (at - local[row]) << 7 | ahead
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(around.view(np.int64)), pa.array(doc[i + row]), pa.array(place)], ["gram", "c1", "doc", "place"])
+
+    rows = materialize(text.mapInArrow(places, "gram long, c1 long, doc long, place long").join(again, "gram"))
+    _free()
+    classes = materialize(rows.groupBy("gram", "c1").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("f")).select("gram", "c1", "n", "f.*"))
+    _free()
+    return text, rows, classes
 
-    found = text.mapInArrow(places, "gram long, doc long, place long").join(again, "gram")
-    mark, pos = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(0xFFFFFFFF)
-    per_text = found.groupBy("doc", mark.alias("mark")).agg(F.collect_list(F.struct(pos.alias("pos"), "gram")).alias("at"))
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = width - gram
+def _position() -> Column:
+    return F.shiftright("place", 7).bitwiseAND((1 << 32) - 1)
+
+
+def _contexts(text: DataFrame, classes: DataFrame, width: int, gram: int) -> DataFrame:
+    """`classes` (gram, c1, doc, place) with the bytes before (backwards) and after the first anchor of each."""
+    per_text = classes.groupBy("doc", F.shiftright("place", 39).cast("int").alias("mark")).agg(F.collect_list(F.struct("gram", "c1", "place")).alias("at"))
+    before = width - gram
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = T.flat(batch.column(2))
-            lists = batch.column(3)
+            data, off = T.flat(batch.column(1))
+            lists = batch.column(2)
             flat, bound = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            at, key = np.asarray(flat.field(0)), np.asarray(flat.field(1))
+            key, c1, place = (np.asarray(flat.field(k)) for k in range(3))
+            at = place >> 7 & ((1 << 32) - 1)
             row = np.repeat(np.arange(len(bound) - 1), np.diff(bound))
             for a in range(0, len(at), 20_000):
                 b = min(len(at), a + 20_000)
                 r = row[a:b]
                 p = off[r] + at[a:b]
                 back = np.minimum(at[a:b], before)
-                ahead = np.minimum(off[r + 1] - p, width)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(key[a:b]), batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r)), pa.array(at[a:b]),
-                        _cut(data, p - back, back, True), _cut(data, p, ahead, False),
-                    ],
-                    ["gram", "doc", "mark", "pos", "left", "right"],
+                    [pa.array(key[a:b]), pa.array(c1[a:b]), batch.column(0).take(pa.array(r)), pa.array(place[a:b]), _cut(data, p - back, back, True), _cut(data, p, place[a:b] & 127, False)],
+                    ["gram", "c1", "doc", "place", "left", "right"],
                 )
 
-    rows = text.join(per_text, ["doc", "mark"]).select("doc", "mark", "text", "at").mapInArrow(contexts, "gram long, doc long, mark int, pos long, left binary, right binary")
-    both = [F.col("gram"), F.col("left"), F.col("right")]
-    rows = rows.withColumn("c1", F.xxhash64(*both)).withColumn("c2", F.xxhash64(F.lit(17), *both))
-    rows = materialize(rows)
-    _free()
-    first = F.min(F.struct("doc", "mark", "pos")).alias("f")
-    classes = materialize(
-        rows.groupBy("c1", "c2").agg(F.first("gram").alias("gram"), F.first("left").alias("left"), F.first("right").alias("right"), F.count("*").alias("n"), first)
-        .select("c1", "c2", "gram", "left", "right", "n", "f.*")
+    return text.join(per_text, ["doc", "mark"]).select("doc", "text", "at").mapInArrow(cut, "gram long, c1 long, doc long, place long, left binary, right binary")
+
+
+def _sorted(contexts: DataFrame) -> DataFrame:
+    """The suffix array of the anchors: classes dealt by gram, sorted by what follows."""
+    parts = max(int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return contexts.repartition(parts, "gram").sortWithinPartitions("gram", "right")
+
+
+def repeat_groups(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id") -> DataFrame:
+    """Every member of every maximal repeat of at least `width` bytes.
+
+    (repeat_id, doc, start, length, first, copies): the class' first occurrence
+    and how many it has; all occurrences of a class have the same bytes around.
+    A repeat is reported once for each anchor in it; one whose occurrences all
+    have the same context is that class alone.
+    """
+    text, _, classes = _classes(docs, width, gram, id_col)
+    kinds = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
+    several = classes.join(kinds, "gram").select("gram", "c1", "doc", "place")
+    found = _sorted(_contexts(text, several, width, gram)).mapInArrow(lambda b: _scan(b, width, gram, True), _GROUPS)
+    alone = classes.where("n > 1").select(
+        F.col("c1").alias("repeat_id"), F.least(_position(), F.lit(width - gram)).cast("int").alias("l"), F.col("place").bitwiseAND(127).cast("int").alias("r"),
+        "gram", "c1", "doc", "place", F.lit(True).alias("first"),
     )
-    _free()
+    both = found.unionByName(alone).join(classes.select("gram", "c1", F.col("n").alias("copies")), ["gram", "c1"])
+    return both.select("repeat_id", "doc", (_position() - F.col("l")).alias("start"), (F.col("l") + F.col("r")).alias("length"), "first", "copies")
+
+
+def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int = CROWD, id_col: str = "doc_id") -> DataFrame:
+    """(doc, mark, spans): the maximal runs [start, end) of bytes that an earlier occurrence covers.
+
+    doc is the id (null: the largest long), mark tells texts that share an id
+    apart. Contexts are compared by 128 bits of hash, and classes of one gram
+    byte by byte.
+    """
+    text, rows, classes = _classes(docs, width, gram, id_col)
     kinds = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = classes.join(kinds, "gram")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    sorted_classes = several.where(F.col("kinds") <= crowd).select("gram", "right", "left", "doc", "mark", "pos", "c1", "c2").repartition(parts, "gram").sortWithinPartitions("gram", "right")
-    groups = sorted_classes.mapInArrow(lambda b: _scan(b, width, gram), _MEMBERS)
-    groups = materialize(groups.unionByName(_crowded(several.where(F.col("kinds") > crowd), width, gram)))
-    covered = groups.where("NOT first").groupBy("c1", "c2").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    marked = classes.select("c1", "c2", "n", "doc", "mark", "pos").join(covered, ["c1", "c2"], "left").where("n > 1 OR l IS NOT NULL")
-    marked = marked.select("c1", "c2", "l", "r", F.struct("doc", "mark", "pos").alias("f"))
-    seen = rows.select("c1", "c2", "doc", "mark", "pos", F.length("left").alias("ll"), F.length("right").alias("rl")).join(marked, ["c1", "c2"])
-    is_first = F.struct("doc", "mark", "pos") == F.col("f")
-    spans = seen.select(
-        "doc", "mark", (F.col("pos") - F.when(is_first, F.col("l")).otherwise(F.col("ll"))).alias("start"), (F.col("pos") + F.when(is_first, F.col("r")).otherwise(F.col("rl"))).alias("end")
-    ).where("start IS NOT NULL")
-    return groups, spans
+    several = classes.select("gram", "c1", "doc", "place").join(kinds, "gram")
+    usual = several.where(F.col("kinds") <= crowd).drop("kinds")
+    extents = _sorted(_contexts(text, usual, width, gram)).mapInArrow(lambda b: _scan(b, width, gram), _EXTENTS)
+    if kinds.where(F.col("kinds") > crowd).limit(1).count():
+        extents = extents.unionByName(_crowded(_contexts(text, several.where(F.col("kinds") > crowd).drop("kinds"), width, gram), width))
+    extents = materialize(extents)
+    _free()
+    marked = classes.join(extents, ["gram", "c1"], "left").where("n > 1 OR l IS NOT NULL").select("gram", "c1", "l", "r", F.struct("doc", "place").alias("f"))
+    seen = rows.join(marked, ["gram", "c1"])
+    first = F.struct("doc", "place") == F.col("f")
+    start = _position() - F.when(first, F.col("l")).otherwise(F.least(_position(), F.lit(width - gram)))
+    end = _position() + F.when(first, F.col("r")).otherwise(F.col("place").bitwiseAND(127))
+    found = seen.select("doc", F.shiftright("place", 39).cast("int").alias("mark"), start.alias("start"), end.alias("end")).where("start IS NOT NULL")
+    per_text = found.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    per_text = materialize(per_text.select("doc", "mark", _merged(F.col("spans")).alias("spans")))
+    discard(rows, classes, extents)
+    _free()
+    return per_text
+
+
+def _merged(spans: Column) -> Column:
+    @F.arrow_udf("array<struct<start: long, end: long>>")
+    def merge(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        start, end = np.asarray(flat.field(0)), np.asarray(flat.field(1))
+        order = np.lexsort((start, row))
+        row, start, end = row[order], start[order], end[order]
+        reach = np.maximum.accumulate(end + row * (1 << 40)) - row * (1 << 40)  # ends so far within the row
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] > reach[:-1])
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(row)) - 1
+        count = np.bincount(row[head], minlength=len(lists))
+        pairs = pa.StructArray.from_arrays([pa.array(start[head]), pa.array(reach[tail])], ["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pairs)
+
+    return merge(spans)
 
 
 def _cut(data: np.ndarray, start: np.ndarray, size: np.ndarray, backwards: bool) -> pa.Array:
@@ -293,8 +367,8 @@ def _cut(data: np.ndarray, start: np.ndarray, size: np.ndarray, backwards: bool)
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
-def _crowded(classes: DataFrame, width: int, gram: int) -> DataFrame:
-    """Members of repeats through grams with very many classes: every window of every class by its key.
+def _crowded(contexts: DataFrame, width: int) -> DataFrame:
+    """Extents of classes of grams with very many: every window of every class by its key.
 
     Each window's first class is a pre-aggregated minimum, so no group meets in
     a task. The windows of one offset through one gram are its maximal repeats
@@ -303,19 +377,20 @@ def _crowded(classes: DataFrame, width: int, gram: int) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                left, right = batch.column("left")[r].as_py(), batch.column("right")[r].as_py()
-                js = [j for j in range(len(left) + 1) if width - j <= len(right)]
+            out: list[list] = [[], [], [], [], [], []]
+            for gram, c1, doc, place, left, right in zip(*(batch.column(k).to_pylist() for k in ("gram", "c1", "doc", "place", "left", "right")), strict=True):
                 around = left[::-1] + right
-                raw = [around[len(left) - j : len(left) - j + width] for j in js]
-                same = lambda k: pa.array([batch.column(k)[r].as_py()] * len(js), batch.schema.field(k).type)
-                yield pa.RecordBatch.from_arrays([*map(same, ("c1", "c2", "doc", "mark", "pos")), pa.array(js, pa.int32()), pa.array(raw, pa.binary())], ["c1", "c2", "doc", "mark", "pos", "j", "bytes"])
+                for j in range(max(0, width - len(right)), len(left) + 1):
+                    for k, v in enumerate((gram, c1, doc, place, j, around[len(left) - j : len(left) - j + width])):
+                        out[k].append(v)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["gram", "c1", "doc", "place", "j", "bytes"])
 
-    rows = classes.select("c1", "c2", "doc", "mark", "pos", "left", "right").mapInArrow(windows, "c1 long, c2 long, doc long, mark int, pos long, j int, bytes binary")
-    rows = rows.select("c1", "c2", "doc", "mark", "pos", "j", F.xxhash64("bytes").alias("w1"), F.xxhash64(F.lit(5), "bytes").alias("w2"))
-    least = rows.groupBy("w1", "w2", "j").agg(F.min(F.struct("doc", "mark", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    hit = rows.join(least, ["w1", "w2", "j"]).where(F.struct("doc", "mark", "pos") != F.col("f"))
-    return hit.select("c1", "c2", F.col("j").alias("l"), (width - F.col("j")).cast("int").alias("r"), F.lit(False).alias("first"), F.col("w1").alias("repeat_id"))
+    rows = contexts.mapInArrow(windows, "gram long, c1 long, doc long, place long, j int, bytes binary")
+    rows = materialize(rows.select("gram", "c1", "doc", "place", "j", F.xxhash64("bytes").alias("w")))
+    least = rows.groupBy("gram", "w", "j").agg(F.min(F.struct("doc", "place")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    hit = rows.join(least, ["gram", "w", "j"]).where(F.struct("doc", "place") != F.col("f"))
+    return hit.groupBy("gram", "c1").agg(F.max("j").alias("l"), (width - F.min("j")).cast("int").alias("r"))
 
 
 def _doc(id_col: str) -> Column:
@@ -323,7 +398,7 @@ def _doc(id_col: str) -> Column:
 
 
 def _mark() -> Column:
-    return F.hash("text").bitwiseAND(0x7FFFFFFF)
+    return F.hash(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFF)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int = CROWD, id_col: str = "doc_id") -> DataFrame:
@@ -338,8 +413,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd:
     result are replaced.
     """
     names = ["n_bytes", "spans", "n_removed", "kept"]
-    _, spans = repeats(docs, width, gram, crowd, id_col)
-    per_text = spans.groupBy(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    spans = repeated_spans(docs, width, gram, crowd, id_col)
+    per_text = spans.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
 
     kind = pa.struct([("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
@@ -348,12 +423,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd:
         out = []
         for x, lists in zip(text, found, strict=True):
             raw = (x.as_py() or "").encode()
-            runs: list[list[int]] = []
-            for s in sorted((v["start"], v["end"]) for v in lists.as_py() or []):
-                if runs and s[0] <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], s[1])
-                else:
-                    runs.append(list(s))
+            runs = [(v["start"], v["end"]) for v in lists.as_py() or []]
             kept, at = [], 0
             for s, e in runs:
                 kept.append(raw[at:s])
@@ -361,6 +431,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd:
             out.append({"n_bytes": len(raw), "spans": [{"start": s, "end": e} for s, e in runs], "n_removed": sum(e - s for s, e in runs), "kept": b"".join([*kept, raw[at:]])})
         return pa.array(out, kind)
 
-    rows = docs.drop(*names).withColumn("_doc", _doc(id_col)).withColumn("_mark", F.when(F.col("text").isNull(), F.hash(F.lit(None).cast("string")).bitwiseAND(0x7FFFFFFF)).otherwise(_mark()))
+    rows = docs.drop(*names).withColumn("_doc", _doc(id_col)).withColumn("_mark", _mark())
     out = rows.join(per_text, ["_doc", "_mark"], "left").withColumn("_r", cut(F.col("text"), F.col("_spans")))
     return out.select(*[c for c in docs.columns if c not in names], "_r.*")

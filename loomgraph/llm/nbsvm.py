@@ -22,7 +22,7 @@ from loomgraph.llm import textvec as T
 BITS = 18
 
 #: Labelled rows the classifier is fitted on at most (those of least hash of the id).
-FIT_ROWS = 8_000
+FIT_ROWS = 5_000
 
 _SEED = [np.uint64(x) for x in (0x51ED270B1F3A4C5D, 0x2545F4914F6CDD1D, 0x6C62272E07BB0142, 0x27D4EB2F165667C5)]
 
@@ -168,10 +168,12 @@ def train(texts: pa.Array, labels: np.ndarray, alpha: float = 1.0, cost: float =
     indptr, index = np.concatenate(ptrs), np.concatenate(feats)
     del feats
     positive = np.repeat(y > 0, np.diff(indptr))
-    count = np.stack([np.bincount(index[~positive], minlength=1 << BITS), np.bincount(index[positive], minlength=1 << BITS)]).astype(float)
+    count = np.stack([np.bincount(index[positive == k], minlength=1 << BITS) for k in (False, True)]).astype(float)
+    del positive
     ratio = np.log((count[1] + alpha) / (count[1] + alpha).sum()) - np.log((count[0] + alpha) / (count[0] + alpha).sum())
     ratio[count.sum(0) == 0] = 0.0
-    value = (ratio[index] / np.repeat(np.sqrt(np.maximum(np.diff(indptr), 1)), np.diff(indptr))).astype(np.float32)
+    value = ratio.astype(np.float32)[index]
+    value /= np.repeat(np.sqrt(np.maximum(np.diff(indptr), 1)).astype(np.float32), np.diff(indptr))
     share = (y > 0).mean()
     bound = np.where(y > 0, cost * 0.5 / share, cost * 0.5 / (1 - share))
     # margins for the logistic curve come from the half of the rows that a fit hasn't seen
@@ -224,5 +226,6 @@ def classify(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
 def _take(indptr, index, value, rows):
     n = indptr[rows + 1] - indptr[rows]
     ptr = np.concatenate([[0], np.cumsum(n)])
-    at = np.repeat(indptr[rows] - ptr[:-1], n) + np.arange(ptr[-1])
+    at = np.repeat((indptr[rows] - ptr[:-1]).astype(np.int32), n)
+    at += np.arange(ptr[-1], dtype=np.int32)
     return ptr, index[at], value[at]

@@ -21,7 +21,7 @@ from loomgraph.llm import textvec as T
 from loomgraph.llm.nbsvm import labelled_sample
 
 #: Labelled rows the models are fitted on at most (those of least hash of the id).
-FIT_ROWS = 8_000
+FIT_ROWS = 5_000
 
 #: Lexicon voters and indicators of the classifier at most.
 VOTERS, INDICATORS = 240, 4_000

@@ -150,43 +150,44 @@ def adjudicate(scored: DataFrame, verdicts: DataFrame) -> DataFrame:
 def _split(members: list[dict], edges: list[tuple], negatives: set[tuple], largest: int, enforce: bool) -> list[list]:
     """Parts of one component after its weakest links are cut until every part is acceptable."""
     of = {m["rid"]: m for m in members}
-
-    def parts_of(kept: list[tuple]) -> list[list]:
-        root = {r: r for r in of}
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for _, a, b in kept:
-            a, b = find(a), find(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-        groups: dict = {}
-        for r in of:
-            groups.setdefault(find(r), []).append(r)
-        return list(groups.values())
-
-    def bad(part: list) -> bool:
+    near: dict = {r: set() for r in of}
+    for _, a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+
+    def reach(start, stop=None) -> set:
+        seen, stack = {start}, [start]
+        while stack:
+            for y in near[stack.pop()] - seen:
+                if y == stop:
+                    return seen | {y}
+                seen.add(y)
+                stack.append(y)
+        return seen
+
+    def bad(part: set) -> bool:
         mails = {of[r]["email"] for r in part if of[r]["email"]}
-        inside = set(part)
-        return len({of[r]["surface"] for r in part}) > largest or len(mails) > 1 or (enforce and any(a in inside and b in inside for a, b in negatives))
-
-    kept = sorted(edges)
-    done: list[list] = []
-    for k in range(MAX_DROPS + 1):
-        parts = parts_of(kept)
-        wrong = [p for p in parts if bad(p)]
-        if not wrong or not kept or k == MAX_DROPS:
-            return parts
-        inside = {r for p in wrong for r in p}
-        weakest = next((e for e in kept if e[1] in inside), None)
-        if weakest is None:
-            return parts
-        kept.remove(weakest)
-    return done
+        return len({of[r]["surface"] for r in part}) > largest or len(mails) > 1 or (enforce and any(a in part and b in part for a, b in negatives))
+
+    done, work, drops = [], [], 0
+    left = set(of)
+    while left:
+        part = reach(next(iter(left)))
+        left -= part
+        (work if bad(part) else done).append(part)
+    for _, a, b in sorted(edges):
+        part = next((p for p in work if a in p), None)
+        if part is None or drops >= MAX_DROPS:
+            continue
+        drops += 1
+        near[a].discard(b)
+        near[b].discard(a)
+        one = reach(a, b)
+        if b not in one:
+            work.remove(part)
+            for half in (one, part - one):
+                (work if bad(half) else done).append(half)
+    return [list(p) for p in done + work]
 
 
 def cluster(feats: DataFrame, scored: DataFrame, enforce_negatives: bool = True, count_surfaces: bool = True, threshold: float = LINK) -> DataFrame:

@@ -179,7 +179,7 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, gram: int, groups: bool
             count = np.array([len(x[2]) for x in found], np.int64)
             rep = lambda v, kind: np.repeat(np.array(v, kind), count)
             first = [x[2][time[x[2]].argmin()] for x in found]
-            name = [int(T.mix(np.array([flat["c1"][f] * 31 + l * 101 + r]).view(np.uint64))[0].view(np.int64)) for f, (l, r, _) in zip(first, found, strict=True)]
+            name = [hash((int(flat["c1"][f]), l, r)) for f, (l, r, _) in zip(first, found, strict=True)]
             cols = [rep(name, np.int64), rep([x[0] for x in found], np.int32), rep([x[1] for x in found], np.int32), *(flat[k][m] for k in ("gram", "c1", "doc", "place")), m == rep(first, np.int64)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["repeat_id", "l", "r", "gram", "c1", "doc", "place", "first"])
         at = np.flatnonzero(most_l >= 0)
@@ -293,8 +293,9 @@ def repeat_groups(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col:
 
     (repeat_id, doc, start, length, first, copies): the class' first occurrence
     and how many it has; all occurrences of a class have the same bytes around.
-    A repeat is reported once for each anchor in it; one whose occurrences all
-    have the same context is that class alone.
+    A repeat is reported once for each anchor in it, as far as the anchor's
+    context goes (so a long one comes in overlapping parts); one whose
+    occurrences all have the same context is that class alone.
     """
     text, _, classes = _classes(docs, width, gram, id_col)
     kinds = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")

@@ -8,6 +8,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from loomgraph.runtime import vectorized
+
 CHUNK_WORDS = 500
 SHINGLE = 4
 
@@ -75,7 +77,7 @@ def chunks(body: Column, size: int = CHUNK_WORDS) -> Column:
     return let(F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"(\S+)"), 1), cut)
 
 
-@F.pandas_udf("array<struct<ordinal:int,text:string,char_start:int,char_end:int>>")
+@vectorized("array<struct<ordinal:int,text:string,char_start:int,char_end:int>>")
 def chunks_with_offsets(body: pd.Series) -> pd.Series:
     """Windows of CHUNK_WORDS words with code-point offsets."""
 
@@ -87,7 +89,7 @@ def chunks_with_offsets(body: pd.Series) -> pd.Series:
     return body.map(cut)
 
 
-@F.pandas_udf("array<struct<mention_type:string,surface:string,surface_norm:string,char_offset:int>>")
+@vectorized("array<struct<mention_type:string,surface:string,surface_norm:string,char_offset:int>>")
 def mentions(text: pd.Series) -> pd.Series:
     """Handles, e-mail addresses, ticket ids and channels with offsets; Spark's own extraction has no offsets."""
     patterns = [(kind, re.compile(p)) for kind, p in MENTIONS]
@@ -148,7 +150,7 @@ def nickname(given: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), given), given)
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def parity_soundex(name: pd.Series) -> pd.Series:
     """Four-place sound code in which h and w look back at the place of the code, not of the name."""
     code = {c: str(k) for k, group in enumerate(("bfpv", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in group}
@@ -175,7 +177,7 @@ def sentence_ordinal(body: Column, offset: Column) -> Column:
     return F.when(offset >= F.length(body), F.lit(0)).otherwise(F.size(F.split(before, r"[.!?\n]+")) - 1)
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def truncate_utf8(text: pd.Series) -> pd.Series:
     """At most 30,000 bytes of UTF-8, with a marker where cut."""
 
@@ -239,7 +241,7 @@ def _section(value) -> str:
     return "" if value is None else str(value)
 
 
-@F.pandas_udf("struct<title:string,body:string>")
+@vectorized("struct<title:string,body:string>")
 def title_and_body(raw: pd.Series) -> pd.DataFrame:
     """Title and assembled body of raw JSON records that name their own fields."""
 
@@ -255,7 +257,7 @@ def title_and_body(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([build(x) for x in raw], columns=["title", "body"])
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def clean_json(response: pd.Series) -> pd.Series:
     """A model's JSON without a code fence; a list becomes {"items": list}; null where it isn't JSON."""
 

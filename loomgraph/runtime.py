@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,3 +45,16 @@ def discard(*tables: DataFrame) -> None:
             if "/tables/" in path:
                 p = sc._jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def vectorized(return_type: str):
+    """A pandas UDF that is made when it is first applied: making one needs a session, importing a module must not."""
+
+    def make(f):
+        @wraps(f)
+        def apply(*columns):
+            return F.pandas_udf(f, return_type)(*columns)
+
+        return apply
+
+    return make

@@ -227,7 +227,7 @@ def _classes(docs: DataFrame, width: int, gram: int, id_col: str) -> tuple[DataF
                 key, n = np.unique(h.view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["gram", "n"])
 
-    again = text.select("text").mapInArrow(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    again = text.select("text").mapInArrow(T.tidy(grams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
     again = materialize(again)
     _free()
 
@@ -245,7 +245,8 @@ def _classes(docs: DataFrame, width: int, gram: int, id_col: str) -> tuple[DataF
                 place = mark[i + row] << 39 | (at - local[row]) << 7 | ahead
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(around.view(np.int64)), pa.array(doc[i + row]), pa.array(place)], ["gram", "c1", "doc", "place"])
 
-    rows = materialize(text.mapInArrow(places, "gram long, c1 long, doc long, place long").join(again, "gram"))
+    rows = materialize(text.mapInArrow(T.tidy(places), "gram long, c1 long, doc long, place long").join(again, "gram"))
+    discard(again)
     _free()
     classes = materialize(rows.groupBy("gram", "c1").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("f")).select("gram", "c1", "n", "f.*"))
     _free()
@@ -279,7 +280,7 @@ def _contexts(text: DataFrame, classes: DataFrame, width: int, gram: int) -> Dat
                     ["gram", "c1", "doc", "place", "left", "right"],
                 )
 
-    return text.join(per_text, ["doc", "mark"]).select("doc", "text", "at").mapInArrow(cut, "gram long, c1 long, doc long, place long, left binary, right binary")
+    return text.join(per_text, ["doc", "mark"]).select("doc", "text", "at").mapInArrow(T.tidy(cut), "gram long, c1 long, doc long, place long, left binary, right binary")
 
 
 def _sorted(contexts: DataFrame) -> DataFrame:
@@ -320,10 +321,13 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd:
     kinds = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
     several = classes.select("gram", "c1", "doc", "place").join(kinds, "gram")
     usual = several.where(F.col("kinds") <= crowd).drop("kinds")
-    extents = _sorted(_contexts(text, usual, width, gram)).mapInArrow(lambda b: _scan(b, width, gram), _EXTENTS)
+    extents = _sorted(_contexts(text, usual, width, gram)).mapInArrow(T.tidy(lambda b: _scan(b, width, gram)), _EXTENTS)
+    windows = []
     if kinds.where(F.col("kinds") > crowd).limit(1).count():
-        extents = extents.unionByName(_crowded(_contexts(text, several.where(F.col("kinds") > crowd).drop("kinds"), width, gram), width))
+        windows = [materialize(_windows(_contexts(text, several.where(F.col("kinds") > crowd).drop("kinds"), width, gram), width))]
+        extents = extents.unionByName(_crowded(windows[0], width))
     extents = materialize(extents)
+    discard(*windows)
     _free()
     marked = classes.join(extents, ["gram", "c1"], "left").where("n > 1 OR l IS NOT NULL").select("gram", "c1", "l", "r", F.struct("doc", "place").alias("f"))
     seen = rows.join(marked, ["gram", "c1"])
@@ -368,13 +372,8 @@ def _cut(data: np.ndarray, start: np.ndarray, size: np.ndarray, backwards: bool)
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
-def _crowded(contexts: DataFrame, width: int) -> DataFrame:
-    """Extents of classes of grams with very many: every window of every class by its key.
-
-    Each window's first class is a pre-aggregated minimum, so no group meets in
-    a task. The windows of one offset through one gram are its maximal repeats
-    cut to `width`; the largest extents to each side are the same.
-    """
+def _windows(contexts: DataFrame, width: int) -> DataFrame:
+    """(gram, c1, doc, place, j, w): the key of every window of `width` bytes around every class."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -387,8 +386,17 @@ def _crowded(contexts: DataFrame, width: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["gram", "c1", "doc", "place", "j", "bytes"])
 
-    rows = contexts.mapInArrow(windows, "gram long, c1 long, doc long, place long, j int, bytes binary")
-    rows = materialize(rows.select("gram", "c1", "doc", "place", "j", F.xxhash64("bytes").alias("w")))
+    rows = contexts.mapInArrow(T.tidy(windows), "gram long, c1 long, doc long, place long, j int, bytes binary")
+    return rows.select("gram", "c1", "doc", "place", "j", F.xxhash64("bytes").alias("w"))
+
+
+def _crowded(rows: DataFrame, width: int) -> DataFrame:
+    """Extents of classes of grams with very many, from the keys of their windows.
+
+    Each window's first class is a pre-aggregated minimum, so no group meets in
+    a task. The windows of one offset through one gram are its maximal repeats
+    cut to `width`; the largest extents to each side are the same.
+    """
     least = rows.groupBy("gram", "w", "j").agg(F.min(F.struct("doc", "place")).alias("f"), F.count("*").alias("n")).where("n > 1")
     hit = rows.join(least, ["gram", "w", "j"]).where(F.struct("doc", "place") != F.col("f"))
     return hit.groupBy("gram", "c1").agg(F.max("j").alias("l"), (width - F.min("j")).cast("int").alias("r"))
@@ -402,7 +410,7 @@ def _mark() -> Column:
     return F.hash(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFF)
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int = CROWD, id_col: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int = CROWD, id_col: str = "doc_id", as_text: bool = False) -> DataFrame:
     """`docs` with n_bytes, spans (maximal removed runs [start, end)), n_removed and kept (the remaining bytes).
 
     A byte goes where a string of `width` bytes over it also starts earlier: in
@@ -410,6 +418,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd:
     is judged on the input. Null texts are empty. A null id is the largest.
     Texts that share an id are told apart by a hash and ordered by it; rows
     that repeat both id and text are one document, each with the same result.
+    With `as_text` kept is a string, without characters that were cut in part.
     Texts shorter than `width` stay whole. Input columns with the name of a
     result are replaced.
     """
@@ -417,9 +426,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd:
     spans = repeated_spans(docs, width, gram, crowd, id_col)
     per_text = spans.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
 
-    kind = pa.struct([("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("n_removed", pa.int64()), ("kept", pa.binary())])
+    kind = pa.struct([("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("n_removed", pa.int64()), ("kept", pa.string() if as_text else pa.binary())])
 
-    @F.arrow_udf("n_bytes long, spans array<struct<start: long, end: long>>, n_removed long, kept binary")
+    @F.arrow_udf(f"n_bytes long, spans array<struct<start: long, end: long>>, n_removed long, kept {'string' if as_text else 'binary'}")
     def cut(text: pa.Array, found: pa.Array) -> pa.Array:
         out = []
         for x, lists in zip(text, found, strict=True):
@@ -430,7 +439,12 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd:
                 kept.append(raw[at:s])
                 at = e
             out.append({"n_bytes": len(raw), "spans": [{"start": s, "end": e} for s, e in runs], "n_removed": sum(e - s for s, e in runs), "kept": b"".join([*kept, raw[at:]])})
-        return pa.array(out, kind)
+            if as_text:
+                out[-1]["kept"] = out[-1]["kept"].decode("utf-8", "ignore")
+        result = pa.array(out, kind)
+        del out
+        T.trim()
+        return result
 
     rows = docs.drop(*names).withColumn("_doc", _doc(id_col)).withColumn("_mark", _mark())
     out = rows.join(per_text, ["_doc", "_mark"], "left").withColumn("_r", cut(F.col("text"), F.col("_spans")))

@@ -232,6 +232,7 @@ def identify(docs: DataFrame, field: Field) -> DataFrame:
     @F.arrow_udf("lang_pred string, score double")
     def predict(text: pa.Array) -> pa.Array:
         best, share = field.predict(text)
+        T.trim()
         return pa.StructArray.from_arrays([pa.array(names).take(pa.array(np.where(best < 0, len(names) - 1, best))), pa.array(share)], ["lang_pred", "score"])
 
     out = docs.drop("lang_pred", "score").withColumn("_l", predict(F.col("text")))

@@ -217,7 +217,9 @@ def classify(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(model.score(text))
+        result = pa.array(model.score(text))
+        T.trim()
+        return result
 
     scored = docs.drop("score", "predicted").withColumn("score", score(F.col("text")))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -29,7 +29,7 @@ CAPACITY = 2048
 RANK_ROWS = 4000
 
 #: Distinct pre-tokens a worker keeps, words encoded in one call, bytes of text encoded at a time.
-CACHE, JOINED, SLICE_BYTES = 1_000_000, 500, 1 << 20
+CACHE, JOINED, SLICE_BYTES = 400_000, 500, 1 << 20
 
 #: Code points of white space as the vocabulary's pattern takes them (fixed values).
 _BLANKS = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -202,7 +202,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
                     [id_col, "piece", "start", "length", "ids"],
                 )
 
-    return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, {PIECES}")
+    return docs.select(id_col, "text").mapInArrow(T.tidy(run), f"`{id_col}` {kind}, {PIECES}")
 
 
 def patterns(lengths: np.ndarray, capacity: int, choices: int = 10) -> list[tuple[int, ...]]:

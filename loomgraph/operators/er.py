@@ -232,7 +232,8 @@ def invariants(scored: DataFrame, clusters: DataFrame, feats: DataFrame) -> Data
     c = clusters.select("rid", "cluster_id")
     bad = scored.where("hard_negative").join(c.withColumnRenamed("rid", "i"), "i").join(c.select(F.col("rid").alias("j"), F.col("cluster_id").alias("_c")), "j").where("cluster_id = _c")
     mails = feats.join(c, "rid").groupBy("cluster_id").agg(F.count_distinct("email").alias("n")).where("n > 1")
-    return bad.agg(F.count("*").alias("cosentence_pairs")).join(mails.agg(F.count("*").alias("email_conflicts")))
+    rows = bad.select(F.lit("b").alias("what")).unionAll(mails.select(F.lit("m").alias("what")))
+    return rows.agg(F.count_if(F.col("what") == "b").alias("cosentence_pairs"), F.count_if(F.col("what") == "m").alias("email_conflicts"))
 
 
 def mode(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -12,8 +12,8 @@ def order_key(key: Column, seed: int = 42) -> Column:
 def stratified_targets(df: DataFrame, stratum: str, total: int) -> DataFrame:
     """(stratum, n, target): shares of `total`, rounded half to even, no more than there are."""
     counts = df.groupBy(stratum).agg(F.count("*").alias("n"))
-    everything = F.broadcast(counts.agg(F.sum("n").alias("_all")))  # a single row
-    return counts.join(everything).select(stratum, "n", F.least(F.col("n"), F.bround(F.col("n") / F.col("_all") * total).cast("long")).alias("target"))
+    everything = df.count()
+    return counts.select(stratum, "n", F.least(F.col("n"), F.bround(F.col("n") / everything * total).cast("long")).alias("target"))
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, total: int, seed: int = 42) -> DataFrame:

@@ -381,8 +381,8 @@ goal AS (SELECT lower(n_name) AS g FROM nation), m AS (SELECT k, 1 AS hop, dst F
 def q_multihop(spark, d):
     starts = table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("key"))
     starts = starts.select(F.col("key").alias("question_id"), "key")
-    goals = table(spark, d, "nation").select(F.lower("n_name").alias("key"))
-    targets = starts.select("question_id").crossJoin(F.broadcast(goals))  # every question has the same 25 goals
+    goals = [F.lower(F.lit(r.n_name)) for r in table(spark, d, "nation").select("n_name").collect()]  # 25 nations, the goals of every question
+    targets = starts.select("question_id", F.explode(F.array(*goals)).alias("key"))
     return Q.multihop(starts, targets, views.edges(spark, d))
 
 

@@ -183,13 +183,13 @@ def mix_sources(
     cells = _rounded(slim, duals, cap)
 
     # Rank the rows of a cell: a large cell is cut into parts by a hash of the id, the parts' sizes give each its first rank.
-    few = cells.select("_s", "size", "rate", "low", "extra", F.ceil(F.col("n") / CELL_ROWS).alias("parts"))
-    parted = rows.join(few, ["_s", "size"]).withColumn("_h", F.xxhash64(id_col)).withColumn("_part", F.pmod(F.shiftright("_h", 20), F.col("parts")))
+    few = cells.select("_s", "size", "rate", F.col("low").alias("_low"), F.col("extra").alias("_extra"), F.ceil(F.col("n") / CELL_ROWS).alias("_parts"))
+    parted = rows.join(few, ["_s", "size"]).withColumn("_h", F.xxhash64(id_col)).withColumn("_part", F.pmod(F.shiftright("_h", 20), F.col("_parts")))
     ahead = Window.partitionBy("_s", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parted.where("parts > 1").groupBy("_s", "size", "_part").agg(F.count("*").alias("here"))
-    parts = parts.withColumn("first", F.coalesce(F.sum("here").over(ahead), F.lit(0))).drop("here")
+    parts = parted.where("_parts > 1").groupBy("_s", "size", "_part").agg(F.count("*").alias("_here"))
+    parts = parts.withColumn("_first", F.coalesce(F.sum("_here").over(ahead), F.lit(0))).drop("_here")
     rank = F.row_number().over(Window.partitionBy("_s", "size", "_part").orderBy("_h", id_col))
     out = parted.withColumn("_rank", rank).join(parts, ["_s", "size", "_part"], "left")
-    copies = F.col("low") + F.when(F.col("_rank") + F.coalesce("first", F.lit(0)) <= F.col("extra"), 1).otherwise(0)
+    copies = F.col("_low") + F.when(F.col("_rank") + F.coalesce("_first", F.lit(0)) <= F.col("_extra"), 1).otherwise(0)
     out = out.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("copies") * F.col("size")).join(F.broadcast(targets), "_s")
     return out.select(*[c for c in docs.columns if c not in names], *names)

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomgraph.llm.minhash import jaccard_groups
 from loomgraph.operators.components import connected_components
 from loomgraph.runtime import materialize
 
@@ -148,15 +149,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def dedupe(docs: DataFrame, id_col: str = "doc_id", width: int = 5, distance: int = 5) -> DataFrame:
-    """`docs` with one document of each group: that of the least id.
+def dedupe(docs: DataFrame, id_col: str = "doc_id", width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """`docs` with one document of each group of near copies: that of the least id.
 
-    Rows that repeat an id are one document and one of them stays. Rows with a
-    null id stay. Columns are those of `docs`. Five-word shingles within five
-    bits of 64 are texts whose shingles are alike to well over 0.8; of pairs
-    nearer to 0.8 most fingerprints differ in more bits, and these stay.
+    Near copies have `width`-word shingle sets of a Jaccard similarity of
+    `threshold` or more. Fingerprints don't reach these: at 0.8 some 10 of 64
+    bits differ, so `minhash` finds and confirms them. Rows that repeat an id
+    are one document and one of them stays. Rows with a null id stay. Columns
+    are those of `docs`.
     """
-    groups = materialize(simhash_groups(docs, id_col, width=width, distance=distance).select(id_col, "component_id"))
+    groups = materialize(jaccard_groups(docs, id_col, width=width, threshold=threshold))
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     kept = docs.join(gone, id_col, "left_anti")
     repeated = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()

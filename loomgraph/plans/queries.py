@@ -88,6 +88,12 @@ def doc_near_dups(spark, d):
     return D.near_duplicates(_docs(spark, d))
 
 
+@register(f"""SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(array_to_string(list_sort(s), chr(10)))) AS representative FROM ({_SHINGLES}) WHERE len(s) > 0""")
+def doc_near_dup_classes(spark, d):
+    """Whom each id in doc_near_dups and doc_lsh_candidates stands for."""
+    return D.shingle_classes(_docs(spark, d))
+
+
 @register()
 def doc_lsh_candidates(spark, d):
     return D.lsh_candidates(_docs(spark, d))

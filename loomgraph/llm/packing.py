@@ -100,6 +100,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -128,7 +129,22 @@ class Encoder:
         self.keys, self.count, self.first = keys[order], np.concatenate([self.count, count])[order], np.concatenate([self.first, first])[order]
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts with `end_id` after each, their offsets)."""
+        """(ids of all texts with `end_id` after each, their offsets).
+
+        The tokenizer takes its added tokens out before it cuts: texts that hold one go through it whole.
+        """
+        ids, ptr = self._encode(data, off, end_id)
+        raw = data.tobytes()
+        if not any(t in raw for t in self.added):
+            return ids, ptr
+        texts = (raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
+        parts = [ids[a:b] for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)]
+        for k, text in enumerate(texts):
+            if any(t in text for t in self.added):
+                parts[k] = np.array([*self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids, end_id], np.uint32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def _encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         text = data.tobytes().decode("utf-8")
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         head = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])

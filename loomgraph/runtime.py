@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,25 +17,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a folder of our own, on one machine only."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         sc.setCheckpointDir(known)
         known = sc.getCheckpointDir()
     return known.rstrip("/")
 
 
+#: Spark deletes a query's shuffle files when it ends, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_end_with_query(spark: SparkSession) -> Iterator[None]:
+    """Queries started within leave no shuffle files behind."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage (a lost executor only costs the tasks that were reading)
-    and keeps a costly plan from being computed once per consumer.
+    and keeps a costly plan from being computed once per consumer. The files of
+    the shuffles behind it go once it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_end_with_query(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,13 +13,16 @@ and scanned likewise: an interval of that order whose members differ to the
 left, and that doesn't lie within one child to the right, is a maximal repeat,
 reported with all its members. All occurrences of a repeat but the first, in
 order of document and place, are removed.
+
+A gram with very many different contexts is split: any string over it shares
+either the bytes of its first half of offsets or those of its second, so the
+members are dealt anew by either, until groups are small or hold one string.
 """
 
 from __future__ import annotations
 
-import gc
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +35,12 @@ from loomgraph.runtime import discard, materialize
 #: Bytes of a repeat at least, and of an anchor's gram.
 WIDTH, GRAM = 100, 24
 
-#: Classes of one gram that are sorted in one task at most; beyond, their windows are compared by key.
+#: Classes that are sorted in one task together at most; larger groups are split by longer keys.
 CROWD = 4000
 
+#: Low bits of a place that hold the bytes of context after it.
+_AHEAD = 16
+
 
 def anchors(data: np.ndarray, off: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, T.Prefix]:
     """(positions, hashes of their grams) of the anchors of all texts, in order, and the prefix sums."""
@@ -57,6 +63,30 @@ def anchors(data: np.ndarray, off: np.ndarray, width: int = WIDTH, gram: int = G
     return found, h[found], prefix
 
 
+def anchored(data: np.ndarray, off: np.ndarray, width: int = WIDTH, gram: int = GRAM, limit: int = T.SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Anchors of all texts, about `limit` bytes of text at a time: (row, position, gram's hash, bytes before, bytes after, hash of these).
+
+    Bytes before and after are those of the context. A longer text is taken in
+    parts that overlap by more than an anchor depends on.
+    """
+    for i, j in T.slices(off, limit):
+        start, stop = int(off[i]), int(off[j])
+        for a in range(start, max(stop, start + 1), limit):
+            b = stop if a + 2 * limit > stop else a + limit  # a part takes a short rest with it
+            lo, hi = max(start, a - width), min(stop, b + width)
+            local = off[i : j + 1] - lo if (lo, hi) == (start, stop) else np.array([0, hi - lo])
+            at, h, prefix = anchors(data[lo:hi], local, width, gram)
+            mine = (at + lo >= a) & (at + lo < b)
+            at, h = at[mine], h[mine]
+            row = np.searchsorted(local, at, "right") - 1
+            back, ahead = np.minimum(at - local[row], width - gram), np.minimum(local[row + 1] - at, width)
+            with np.errstate(over="ignore"):
+                around = T.mix(prefix.hash(at - back, at + ahead) + back.astype(np.uint64))
+            yield i + row, at + lo - off[i + row], h, back, ahead, around
+            if b == stop:
+                break
+
+
 def _sliding(x: np.ndarray, reach: int, best) -> np.ndarray:
     """best over every `reach` neighbours, by doubling."""
     k = 1
@@ -128,12 +158,13 @@ def _padded(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, length
 
 
+_CLASS = "gram long, c1 long, doc long, mark long, place long"
 _EXTENTS = "gram long, c1 long, l int, r int"
-_GROUPS = "repeat_id long, l int, r int, gram long, c1 long, doc long, place long, first boolean"
+_GROUPS = f"repeat_id long, l int, r int, {_CLASS}, first boolean"
 
 
 def _scan(batches: Iterator[pa.RecordBatch], width: int, gram: int, groups: bool = False) -> Iterator[pa.RecordBatch]:
-    """Repeats of classes that come sorted by gram and right context; a gram's last rows wait for the next batch.
+    """Repeats of classes that come sorted by key and right context; a key's last rows wait for the next batch.
 
     Reports how far each class is covered to either side by repeats in which it
     isn't first or, for `groups`, every member of every maximal repeat.
@@ -141,16 +172,16 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, gram: int, groups: bool
     held: list[pa.Table] = []
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        flat = {k: np.asarray(table.column(k).combine_chunks()) for k in ("gram", "c1", "doc", "place")}
+        flat = {k: np.asarray(table.column(k).combine_chunks()) for k in ("key", "gram", "c1", "doc", "mark", "place")}
         left, left_len = _padded(table.column("left"), width - gram)
         right, right_len = _padded(table.column("right"), width)
         n = len(left)
         time = np.empty(n, np.int64)
-        time[np.lexsort((flat["place"], flat["doc"]))] = np.arange(n)
+        time[np.lexsort((flat["place"], flat["mark"], flat["doc"]))] = np.arange(n)
         lcp = np.zeros(n, np.int64)
         if n > 1:
             lcp[1:] = _common(right[1:], right[:-1], np.minimum(right_len[1:], right_len[:-1]))
-        edge = np.concatenate([[0], np.flatnonzero(flat["gram"][1:] != flat["gram"][:-1]) + 1, [n]])
+        edge = np.concatenate([[0], np.flatnonzero(flat["key"][1:] != flat["key"][:-1]) + 1, [n]])
         size = np.diff(edge)
         most_l, most_r = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
         found: list[tuple[int, int, np.ndarray]] = []
@@ -180,8 +211,8 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, gram: int, groups: bool
             rep = lambda v, kind: np.repeat(np.array(v, kind), count)
             first = [x[2][time[x[2]].argmin()] for x in found]
             name = [hash((int(flat["c1"][f]), l, r)) for f, (l, r, _) in zip(first, found, strict=True)]
-            cols = [rep(name, np.int64), rep([x[0] for x in found], np.int32), rep([x[1] for x in found], np.int32), *(flat[k][m] for k in ("gram", "c1", "doc", "place")), m == rep(first, np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["repeat_id", "l", "r", "gram", "c1", "doc", "place", "first"])
+            cols = [rep(name, np.int64), rep([x[0] for x in found], np.int32), rep([x[1] for x in found], np.int32), *(flat[k][m] for k in ("gram", "c1", "doc", "mark", "place")), m == rep(first, np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["repeat_id", "l", "r", "gram", "c1", "doc", "mark", "place", "first"])
         at = np.flatnonzero(most_l >= 0)
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (flat["gram"][at], flat["c1"][at], most_l[at], most_r[at])], ["gram", "c1", "l", "r"])
 
@@ -189,10 +220,10 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, gram: int, groups: bool
         if not batch.num_rows:
             continue
         held.append(pa.Table.from_batches([batch]))
-        grams = np.asarray(batch.column("gram"))
-        cut = np.flatnonzero(grams != grams[-1])
+        keys = np.asarray(batch.column("key"))
+        cut = np.flatnonzero(keys != keys[-1])
         start = int(cut[-1]) + 1 if len(cut) else 0
-        if start or (len(held) > 1 and held[-2].column("gram")[-1].as_py() != grams[0]):
+        if start or (len(held) > 1 and held[-2].column("key")[-1].as_py() != keys[0]):
             done = pa.concat_tables([*held[:-1], held[-1].slice(0, start)])
             held = [held[-1].slice(start)]
             yield solve(done)
@@ -200,145 +231,173 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, gram: int, groups: bool
         yield solve(pa.concat_tables(held))
 
 
-def _free() -> None:
-    """Let go of finished stages: Spark deletes their shuffle files once the driver has dropped them."""
-    from pyspark import SparkContext
-
-    gc.collect()
-    if SparkContext._active_spark_context is not None:
-        SparkContext._active_spark_context._jvm.System.gc()
-
-
-def _classes(docs: DataFrame, width: int, gram: int, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _classes(docs: DataFrame, mark: Column, width: int, gram: int, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(text, rows, classes).
 
-    text: (doc, mark, text). rows: (gram, c1, doc, place) of every anchor whose
-    gram occurs again; c1 is the hash of its context, place packs what tells
-    equal ids apart, the position, and the bytes of context after it. classes:
-    rows of one gram and context, with n and the first of them.
+    text: (doc, mark, text). rows: (gram, c1, doc, mark, place) of every anchor
+    whose gram occurs again; c1 is the hash of its context, place packs the
+    position and the bytes of context after it. classes: rows of one gram and
+    context, with n and the first of them.
     """
-    text = docs.select(_doc(id_col).alias("doc"), _mark().alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+    text = docs.select(_doc(id_col).alias("doc"), mark.alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = T.flat(batch.column(0))
-            for i, j in T.slices(off):
-                _, h, _ = anchors(data[off[i] : off[j]], off[i : j + 1] - off[i], width, gram)
+            for _, _, h, *_ in anchored(*T.flat(batch.column(0)), width, gram):
                 key, n = np.unique(h.view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["gram", "n"])
 
-    again = text.select("text").mapInArrow(T.tidy(grams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
-    again = materialize(again)
-    _free()
+    again = materialize(text.select("text").mapInArrow(T.tidy(grams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, mark = np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64)
-            data, off = T.flat(batch.column(2))
-            for i, j in T.slices(off):
-                local = off[i : j + 1] - off[i]
-                at, h, prefix = anchors(data[off[i] : off[j]], local, width, gram)
-                row = np.searchsorted(local, at, "right") - 1
-                back, ahead = np.minimum(at - local[row], width - gram), np.minimum(local[row + 1] - at, width)
-                with np.errstate(over="ignore"):
-                    around = T.mix(prefix.hash(at - back, at + ahead) + back.astype(np.uint64))
-                place = mark[i + row] << 39 | (at - local[row]) << 7 | ahead
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(around.view(np.int64)), pa.array(doc[i + row]), pa.array(place)], ["gram", "c1", "doc", "place"])
-
-    rows = materialize(text.mapInArrow(T.tidy(places), "gram long, c1 long, doc long, place long").join(again, "gram"))
+            doc, mark = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for row, at, h, _, ahead, around in anchored(*T.flat(batch.column(2)), width, gram):
+                cols = (h.view(np.int64), around.view(np.int64), doc[row], mark[row], at << _AHEAD | ahead)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "c1", "doc", "mark", "place"])
+
+    rows = materialize(text.mapInArrow(T.tidy(places), _CLASS).join(again, "gram"))
     discard(again)
-    _free()
-    classes = materialize(rows.groupBy("gram", "c1").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("f")).select("gram", "c1", "n", "f.*"))
-    _free()
+    first = F.min(F.struct("doc", "mark", "place")).alias("f")
+    classes = materialize(rows.groupBy("gram", "c1").agg(F.count("*").alias("n"), first).select("gram", "c1", "n", "f.*"))
     return text, rows, classes
 
 
 def _position() -> Column:
-    return F.shiftright("place", 7).bitwiseAND((1 << 32) - 1)
+    return F.shiftright("place", _AHEAD)
+
+
+def _ahead() -> Column:
+    return F.col("place").bitwiseAND((1 << _AHEAD) - 1)
 
 
 def _contexts(text: DataFrame, classes: DataFrame, width: int, gram: int) -> DataFrame:
-    """`classes` (gram, c1, doc, place) with the bytes before (backwards) and after the first anchor of each."""
-    per_text = classes.groupBy("doc", F.shiftright("place", 39).cast("int").alias("mark")).agg(F.collect_list(F.struct("gram", "c1", "place")).alias("at"))
+    """`classes` whose gram has several contexts: with kinds, their number, and the bytes before (backwards) and after the first anchor of each."""
+    kinds = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = classes.join(kinds, "gram")
+    per_text = several.groupBy("doc", "mark").agg(F.collect_list(F.struct("gram", "c1", "place", "kinds")).alias("at"))
     before = width - gram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = T.flat(batch.column(1))
-            lists = batch.column(2)
+            data, off = T.flat(batch.column(2))
+            lists = batch.column(3)
             flat, bound = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            key, c1, place = (np.asarray(flat.field(k)) for k in range(3))
-            at = place >> 7 & ((1 << 32) - 1)
+            key, c1, place, kinds = (np.asarray(flat.field(k)) for k in range(4))
+            at, ahead = place >> _AHEAD, place & ((1 << _AHEAD) - 1)
             row = np.repeat(np.arange(len(bound) - 1), np.diff(bound))
             for a in range(0, len(at), 20_000):
                 b = min(len(at), a + 20_000)
                 r = row[a:b]
                 p = off[r] + at[a:b]
                 back = np.minimum(at[a:b], before)
+                whose = [batch.column(k).take(pa.array(r)) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[a:b]), pa.array(c1[a:b]), batch.column(0).take(pa.array(r)), pa.array(place[a:b]), _cut(data, p - back, back, True), _cut(data, p, place[a:b] & 127, False)],
-                    ["gram", "c1", "doc", "place", "left", "right"],
+                    [pa.array(key[a:b]), pa.array(c1[a:b]), *whose, pa.array(place[a:b]), pa.array(kinds[a:b]), _cut(data, p - back, back, True), _cut(data, p, ahead[a:b], False)],
+                    ["gram", "c1", "doc", "mark", "place", "kinds", "left", "right"],
                 )
 
-    return text.join(per_text, ["doc", "mark"]).select("doc", "text", "at").mapInArrow(T.tidy(cut), "gram long, c1 long, doc long, place long, left binary, right binary")
+    return text.join(per_text, ["doc", "mark"]).select("doc", "mark", "text", "at").mapInArrow(T.tidy(cut), f"{_CLASS}, kinds long, left binary, right binary")
 
 
-def _sorted(contexts: DataFrame) -> DataFrame:
-    """The suffix array of the anchors: classes dealt by gram, sorted by what follows."""
-    parts = max(int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return contexts.repartition(parts, "gram").sortWithinPartitions("gram", "right")
+def _by_groups(contexts: DataFrame, width: int, gram: int, crowd: int, scan: Callable[[DataFrame], DataFrame], leaf: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """What `scan` finds in the groups of at most `crowd` contexts and `leaf` in those of one string.
 
+    The first groups are those of one gram, which hold the strings that begin 0
+    to width - gram bytes before the anchor. A larger group's range of
+    beginnings is halved: the strings of either half share more bytes, by which
+    its members are dealt anew; members alone with theirs are done. So nothing
+    of a crowd's size ever meets in a task, however alike its members are.
+    """
+    columns = [*(x.split()[0] for x in _CLASS.split(", ")), "left", "right"]
+    at, found, scratch = [(0, width - gram)], [], []
+    groups = contexts.withColumn("key", F.col("gram")).withColumn("half", F.lit(0))
+    while True:
+        found.append(scan(_sorted(groups.where(F.col("kinds") <= crowd).select("key", *columns))))
+        large = groups.where(F.col("kinds") > crowd)
+        leaves = [k for k, (a, b) in enumerate(at) if a == b]
+        found += [leaf(large.where(F.col("half") == k), at[k][0]) for k in leaves]
+        large = large.where(~F.col("half").isin(leaves)) if leaves else large
+        if len(leaves) == len(at) or not large.limit(1).count():
+            break
+        halves, options = [], []
+        for k, (a, b) in enumerate(at):
+            for lo, hi in ((a, (a + b) // 2), ((a + b) // 2 + 1, b)) if a < b else ():
+                fits = (F.col("half") == k) & (F.octet_length("left") >= lo) & (F.octet_length("right") >= width - hi)
+                shared = F.xxhash64("gram", F.lit(len(halves)), F.substring("left", 1, lo), F.substring("right", 1, width - hi))
+                options.append(F.when(fits, F.struct(F.lit(len(halves)).alias("half"), shared.alias("key"))))
+                halves.append((lo, hi))
+        at = halves
+        dealt = large.select(*columns, F.explode(F.filter(F.array(*options), lambda o: o.isNotNull())).alias("o")).select(*columns, "o.*")
+        groups = materialize(dealt.join(dealt.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "key"))
+        scratch.append(groups)
+    out = materialize(reduce(DataFrame.unionByName, found))
+    discard(*scratch)
+    return out
+
+
+def _sorted(groups: DataFrame) -> DataFrame:
+    """The suffix array of the anchors: classes dealt by key, sorted by what follows."""
+    return groups.repartition("key").sortWithinPartitions("key", "right")
+
+
+def repeat_groups(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int = CROWD, id_col: str = "doc_id") -> DataFrame:
+    """Every occurrence of every maximal repeat of at least `width` bytes: (repeat_id, doc, mark, start, length, first).
+
+    first marks the earliest. A repeat is reported for each anchor in it, as
+    far as the anchor's context of `width` bytes to either side goes, so a long
+    one comes in overlapping parts. In a crowd of more than `crowd` contexts
+    that share one string of `width` bytes, that string is reported, not what
+    parts of the crowd share beyond it. doc and mark are those of repeated_spans.
+    """
+    text, rows, classes = _classes(docs, _mark(docs, id_col), width, gram, id_col)
+    contexts = materialize(_contexts(text, classes, width, gram))
 
-def repeat_groups(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id") -> DataFrame:
-    """Every member of every maximal repeat of at least `width` bytes.
+    def leaf(group: DataFrame, j: int) -> DataFrame:
+        least = group.groupBy("key").agg(F.min(F.struct("doc", "mark", "place")).alias("f"))
+        extent = [F.lit(j).alias("l"), F.lit(width - j).alias("r")]
+        return group.join(least, "key").select(F.col("key").alias("repeat_id"), *extent, "gram", "c1", "doc", "mark", "place", (F.struct("doc", "mark", "place") == F.col("f")).alias("first"))
 
-    (repeat_id, doc, start, length, first, copies): the class' first occurrence
-    and how many it has; all occurrences of a class have the same bytes around.
-    A repeat is reported once for each anchor in it, as far as the anchor's
-    context goes (so a long one comes in overlapping parts); one whose
-    occurrences all have the same context is that class alone.
-    """
-    text, _, classes = _classes(docs, width, gram, id_col)
-    kinds = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
-    several = classes.join(kinds, "gram").select("gram", "c1", "doc", "place")
-    found = _sorted(_contexts(text, several, width, gram)).mapInArrow(lambda b: _scan(b, width, gram, True), _GROUPS)
+    found = _by_groups(contexts, width, gram, crowd, lambda g: g.mapInArrow(T.tidy(lambda b: _scan(b, width, gram, True)), _GROUPS), leaf).distinct()
     alone = classes.where("n > 1").select(
-        F.col("c1").alias("repeat_id"), F.least(_position(), F.lit(width - gram)).cast("int").alias("l"), F.col("place").bitwiseAND(127).cast("int").alias("r"),
-        "gram", "c1", "doc", "place", F.lit(True).alias("first"),
+        F.col("c1").alias("repeat_id"), F.least(_position(), F.lit(width - gram)).cast("int").alias("l"), _ahead().cast("int").alias("r"), "gram", "c1", "doc", "mark", "place", F.lit(True).alias("first")
     )
-    both = found.unionByName(alone).join(classes.select("gram", "c1", F.col("n").alias("copies")), ["gram", "c1"])
-    return both.select("repeat_id", "doc", (_position() - F.col("l")).alias("start"), (F.col("l") + F.col("r")).alias("length"), "first", "copies")
+    both = materialize(found.unionByName(alone).select("repeat_id", "l", "r", "gram", "c1", "first", F.struct("doc", "mark", "place").alias("f")))
+    every = rows.join(both, ["gram", "c1"]).withColumn("first", F.col("first") & (F.struct("doc", "mark", "place") == F.col("f")))
+    return every.select("repeat_id", "doc", "mark", (_position() - F.col("l")).alias("start"), (F.col("l") + F.col("r")).alias("length"), "first")
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int = CROWD, id_col: str = "doc_id") -> DataFrame:
     """(doc, mark, spans): the maximal runs [start, end) of bytes that an earlier occurrence covers.
 
     doc is the id (null: the largest long), mark tells texts that share an id
-    apart. Contexts are compared by 128 bits of hash, and classes of one gram
-    byte by byte.
+    apart (0 where none do). Contexts are compared by 128 bits of hash, and
+    classes of one gram byte by byte.
     """
-    text, rows, classes = _classes(docs, width, gram, id_col)
-    kinds = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = classes.select("gram", "c1", "doc", "place").join(kinds, "gram")
-    usual = several.where(F.col("kinds") <= crowd).drop("kinds")
-    extents = _sorted(_contexts(text, usual, width, gram)).mapInArrow(T.tidy(lambda b: _scan(b, width, gram)), _EXTENTS)
-    windows = []
-    if kinds.where(F.col("kinds") > crowd).limit(1).count():
-        windows = [materialize(_windows(_contexts(text, several.where(F.col("kinds") > crowd).drop("kinds"), width, gram), width))]
-        extents = extents.unionByName(_crowded(windows[0], width))
-    extents = materialize(extents)
-    discard(*windows)
-    _free()
-    marked = classes.join(extents, ["gram", "c1"], "left").where("n > 1 OR l IS NOT NULL").select("gram", "c1", "l", "r", F.struct("doc", "place").alias("f"))
+    return _spans(docs, _mark(docs, id_col), width, gram, crowd, id_col)
+
+
+def _spans(docs: DataFrame, mark: Column, width: int, gram: int, crowd: int, id_col: str) -> DataFrame:
+    text, rows, classes = _classes(docs, mark, width, gram, id_col)
+    contexts = materialize(_contexts(text, classes, width, gram))
+
+    def leaf(group: DataFrame, j: int) -> DataFrame:
+        least = group.groupBy("key").agg(F.min(F.struct("doc", "mark", "place")).alias("f"))
+        return group.join(least, "key").where(F.struct("doc", "mark", "place") != F.col("f")).select("gram", "c1", F.lit(j).alias("l"), F.lit(width - j).alias("r"))
+
+    extents = _by_groups(contexts, width, gram, crowd, lambda g: g.mapInArrow(T.tidy(lambda b: _scan(b, width, gram)), _EXTENTS), leaf)
+    discard(contexts)
+    most = extents.groupBy("gram", "c1").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    # written, so that the next join has two plain sides: only then is a crowded class split over tasks
+    marked = materialize(classes.join(most, ["gram", "c1"], "left").where("n > 1 OR l IS NOT NULL").select("gram", "c1", "l", "r", F.struct("doc", "mark", "place").alias("f")))
     seen = rows.join(marked, ["gram", "c1"])
-    first = F.struct("doc", "place") == F.col("f")
+    first = F.struct("doc", "mark", "place") == F.col("f")
     start = _position() - F.when(first, F.col("l")).otherwise(F.least(_position(), F.lit(width - gram)))
-    end = _position() + F.when(first, F.col("r")).otherwise(F.col("place").bitwiseAND(127))
-    found = seen.select("doc", F.shiftright("place", 39).cast("int").alias("mark"), start.alias("start"), end.alias("end")).where("start IS NOT NULL")
+    end = _position() + F.when(first, F.col("r")).otherwise(_ahead())
+    found = seen.select("doc", "mark", start.alias("start"), end.alias("end")).where("start IS NOT NULL")
     per_text = found.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     per_text = materialize(per_text.select("doc", "mark", _merged(F.col("spans")).alias("spans")))
-    discard(rows, classes, extents)
-    _free()
+    discard(rows, classes, extents, marked)
     return per_text
 
 
@@ -372,42 +431,15 @@ def _cut(data: np.ndarray, start: np.ndarray, size: np.ndarray, backwards: bool)
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
-def _windows(contexts: DataFrame, width: int) -> DataFrame:
-    """(gram, c1, doc, place, j, w): the key of every window of `width` bytes around every class."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for gram, c1, doc, place, left, right in zip(*(batch.column(k).to_pylist() for k in ("gram", "c1", "doc", "place", "left", "right")), strict=True):
-                around = left[::-1] + right
-                for j in range(max(0, width - len(right)), len(left) + 1):
-                    for k, v in enumerate((gram, c1, doc, place, j, around[len(left) - j : len(left) - j + width])):
-                        out[k].append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["gram", "c1", "doc", "place", "j", "bytes"])
-
-    rows = contexts.mapInArrow(T.tidy(windows), "gram long, c1 long, doc long, place long, j int, bytes binary")
-    return rows.select("gram", "c1", "doc", "place", "j", F.xxhash64("bytes").alias("w"))
-
-
-def _crowded(rows: DataFrame, width: int) -> DataFrame:
-    """Extents of classes of grams with very many, from the keys of their windows.
-
-    Each window's first class is a pre-aggregated minimum, so no group meets in
-    a task. The windows of one offset through one gram are its maximal repeats
-    cut to `width`; the largest extents to each side are the same.
-    """
-    least = rows.groupBy("gram", "w", "j").agg(F.min(F.struct("doc", "place")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    hit = rows.join(least, ["gram", "w", "j"]).where(F.struct("doc", "place") != F.col("f"))
-    return hit.groupBy("gram", "c1").agg(F.max("j").alias("l"), (width - F.min("j")).cast("int").alias("r"))
-
-
 def _doc(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
 
 
-def _mark() -> Column:
-    return F.hash(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFF)
+def _mark(docs: DataFrame, id_col: str) -> Column:
+    """A hash of the text where ids repeat, and for null ids; 0 for others."""
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    return text if repeated else F.when(F.col(id_col).isNull(), text).otherwise(F.lit(0).cast("long"))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int = CROWD, id_col: str = "doc_id", as_text: bool = False) -> DataFrame:
@@ -416,14 +448,15 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd:
     A byte goes where a string of `width` bytes over it also starts earlier: in
     a document of smaller id, or earlier in the same. Overlaps count, and all
     is judged on the input. Null texts are empty. A null id is the largest.
-    Texts that share an id are told apart by a hash and ordered by it; rows
+    Texts that share an id are told apart by 64 bits of hash and ordered by it; rows
     that repeat both id and text are one document, each with the same result.
     With `as_text` kept is a string, without characters that were cut in part.
     Texts shorter than `width` stay whole. Input columns with the name of a
     result are replaced.
     """
     names = ["n_bytes", "spans", "n_removed", "kept"]
-    spans = repeated_spans(docs, width, gram, crowd, id_col)
+    mark = _mark(docs, id_col)
+    spans = _spans(docs, mark, width, gram, crowd, id_col)
     per_text = spans.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
 
     kind = pa.struct([("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("n_removed", pa.int64()), ("kept", pa.string() if as_text else pa.binary())])
@@ -446,6 +479,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd:
         T.trim()
         return result
 
-    rows = docs.drop(*names).withColumn("_doc", _doc(id_col)).withColumn("_mark", _mark())
+    rows = docs.drop(*names).withColumn("_doc", _doc(id_col)).withColumn("_mark", mark)
     out = rows.join(per_text, ["_doc", "_mark"], "left").withColumn("_r", cut(F.col("text"), F.col("_spans")))
     return out.select(*[c for c in docs.columns if c not in names], "_r.*")

@@ -300,40 +300,35 @@ def _contexts(text: DataFrame, classes: DataFrame, width: int, gram: int) -> Dat
     return text.join(per_text, ["doc", "mark"]).select("doc", "mark", "text", "at").mapInArrow(T.tidy(cut), f"{_CLASS}, kinds long, left binary, right binary")
 
 
-def _by_groups(contexts: DataFrame, width: int, gram: int, crowd: int, scan: Callable[[DataFrame], DataFrame], leaf: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """What `scan` finds in the groups of at most `crowd` contexts and `leaf` in those of one string.
-
-    The first groups are those of one gram, which hold the strings that begin 0
-    to width - gram bytes before the anchor. A larger group's range of
-    beginnings is halved: the strings of either half share more bytes, by which
-    its members are dealt anew; members alone with theirs are done. So nothing
-    of a crowd's size ever meets in a task, however alike its members are.
+def _by_groups(contexts: DataFrame, width: int, gram: int, crowd: int, scan: Callable[[DataFrame], DataFrame], leaf: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `scan` finds in the groups of at most `crowd` contexts and `leaf` in larger ones that share a whole string.
+
+    The first groups are those of one gram, which hold the strings that begin
+    lo = 0 to hi = width - gram bytes before the anchor. A larger group's range
+    is halved: the strings of either half share more bytes, by which its
+    members are dealt anew; members alone with theirs are done. So nothing of a
+    crowd's size ever meets in a task, however alike its members are.
     """
     columns = [*(x.split()[0] for x in _CLASS.split(", ")), "left", "right"]
-    at, found, scratch = [(0, width - gram)], [], []
-    groups = contexts.withColumn("key", F.col("gram")).withColumn("half", F.lit(0))
+    groups = contexts.withColumns({"key": F.col("gram"), "lo": F.lit(0), "hi": F.lit(width - gram)})
+    found, scratch = [], []
     while True:
-        found.append(scan(_sorted(groups.where(F.col("kinds") <= crowd).select("key", *columns))))
         large = groups.where(F.col("kinds") > crowd)
-        leaves = [k for k, (a, b) in enumerate(at) if a == b]
-        found += [leaf(large.where(F.col("half") == k), at[k][0]) for k in leaves]
-        large = large.where(~F.col("half").isin(leaves)) if leaves else large
-        if len(leaves) == len(at) or not large.limit(1).count():
+        small = scan(_sorted(groups.where(F.col("kinds") <= crowd).select("key", *columns)))
+        found.append(materialize(small.unionByName(leaf(large.where("lo = hi"))) if scratch else small))
+        large = large.where("lo < hi")
+        if not large.limit(1).count():
             break
-        halves, options = [], []
-        for k, (a, b) in enumerate(at):
-            for lo, hi in ((a, (a + b) // 2), ((a + b) // 2 + 1, b)) if a < b else ():
-                fits = (F.col("half") == k) & (F.octet_length("left") >= lo) & (F.octet_length("right") >= width - hi)
-                shared = F.xxhash64("gram", F.lit(len(halves)), F.substring("left", 1, lo), F.substring("right", 1, width - hi))
-                options.append(F.when(fits, F.struct(F.lit(len(halves)).alias("half"), shared.alias("key"))))
-                halves.append((lo, hi))
-        at = halves
-        dealt = large.select(*columns, F.explode(F.filter(F.array(*options), lambda o: o.isNotNull())).alias("o")).select(*columns, "o.*")
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi")))
+        dealt = large.select(*columns, F.explode(halves).alias("o")).select(*columns, "o.*").where((F.octet_length("left") >= F.col("lo")) & (F.octet_length("right") >= width - F.col("hi")))
+        shared = F.xxhash64("gram", "lo", F.substring("left", F.lit(1), F.col("lo")), F.substring("right", F.lit(1), width - F.col("hi")))
+        dealt = dealt.withColumn("key", shared)
         groups = materialize(dealt.join(dealt.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "key"))
-        scratch.append(groups)
-    out = materialize(reduce(DataFrame.unionByName, found))
+        discard(*scratch)
+        scratch = [groups]
     discard(*scratch)
-    return out
+    return reduce(DataFrame.unionByName, found)
 
 
 def _sorted(groups: DataFrame) -> DataFrame:
@@ -353,9 +348,9 @@ def repeat_groups(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd:
     text, rows, classes = _classes(docs, _mark(docs, id_col), width, gram, id_col)
     contexts = materialize(_contexts(text, classes, width, gram))
 
-    def leaf(group: DataFrame, j: int) -> DataFrame:
+    def leaf(group: DataFrame) -> DataFrame:
         least = group.groupBy("key").agg(F.min(F.struct("doc", "mark", "place")).alias("f"))
-        extent = [F.lit(j).alias("l"), F.lit(width - j).alias("r")]
+        extent = [F.col("lo").alias("l"), (width - F.col("lo")).alias("r")]
         return group.join(least, "key").select(F.col("key").alias("repeat_id"), *extent, "gram", "c1", "doc", "mark", "place", (F.struct("doc", "mark", "place") == F.col("f")).alias("first"))
 
     found = _by_groups(contexts, width, gram, crowd, lambda g: g.mapInArrow(T.tidy(lambda b: _scan(b, width, gram, True)), _GROUPS), leaf).distinct()
@@ -381,9 +376,9 @@ def _spans(docs: DataFrame, mark: Column, width: int, gram: int, crowd: int, id_
     text, rows, classes = _classes(docs, mark, width, gram, id_col)
     contexts = materialize(_contexts(text, classes, width, gram))
 
-    def leaf(group: DataFrame, j: int) -> DataFrame:
+    def leaf(group: DataFrame) -> DataFrame:
         least = group.groupBy("key").agg(F.min(F.struct("doc", "mark", "place")).alias("f"))
-        return group.join(least, "key").where(F.struct("doc", "mark", "place") != F.col("f")).select("gram", "c1", F.lit(j).alias("l"), F.lit(width - j).alias("r"))
+        return group.join(least, "key").where(F.struct("doc", "mark", "place") != F.col("f")).select("gram", "c1", F.col("lo").alias("l"), (width - F.col("lo")).alias("r"))
 
     extents = _by_groups(contexts, width, gram, crowd, lambda g: g.mapInArrow(T.tidy(lambda b: _scan(b, width, gram)), _EXTENTS), leaf)
     discard(contexts)

@@ -3,8 +3,8 @@
 Documents become pieces of at most `capacity` tokens. The histogram of piece
 lengths is all the packing looks at: patterns of a few lengths that fill a
 sequence exactly are enumerated, their repeat counts fitted to the histogram
-by non-negative least squares and rounded down, and what remains is packed
-best-fit. Both work on counts of equal lengths, never on single pieces, so the
+by non-negative least squares and rounded down, and what remains is packed by
+filling up the longest pieces as far as the others can. Both work on counts of equal lengths, never on single pieces, so the
 plan's size is bounded by the capacity. Pieces then find their place by their
 rank among those of their length.
 """
@@ -31,6 +31,9 @@ RANK_ROWS = 4000
 #: Distinct pre-tokens a worker keeps, words encoded in one call, bytes of text encoded at a time.
 CACHE, JOINED, SLICE_BYTES = 400_000, 500, 1 << 20
 
+#: Pre-tokens of more code points are told apart by their text, not by a hash (at 2**10 a polynomial hash modulo 2**64 has collisions by construction); so many code points of them are kept.
+LONG, LONG_KEPT = 64, 1 << 23
+
 #: Code points of white space as the vocabulary's pattern takes them (fixed values).
 _BLANKS = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -106,6 +109,8 @@ class Encoder:
     def clear(self) -> None:
         self.keys, self.count, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.long: dict[str, int] = {}
+        self.long_size = 0
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, count of each) of pre-tokens that stay apart when written one after the other: a space and letters."""
@@ -153,9 +158,15 @@ class Encoder:
             start = pretokens(codes, at)
             end = np.append(start[1:], len(codes)) if len(start) else start
             key = T.Prefix(codes).hash(start, end)
-        kinds, where, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE:
+        if len(self.keys) > CACHE or self.long_size > LONG_KEPT:
             self.clear()
+        for k in np.flatnonzero(end - start > LONG).tolist():
+            word = text[start[k] : end[k]]
+            if word not in self.long:
+                self.long[word] = len(self.long)
+                self.long_size += len(word)
+            key[k] = self.long[word]
+        kinds, where, back = np.unique(key, return_index=True, return_inverse=True)
         slot = np.searchsorted(self.keys, kinds)
         known = np.zeros(len(kinds), bool)
         inside = slot < len(self.keys)
@@ -270,61 +281,93 @@ def non_negative_fit(columns: list[dict[int, int]], want: np.ndarray, sweeps: in
     return x
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
-    """(runs, sequences): rows (length, first rank, count, first sequence, offset) that place every rank of every length."""
-    have = np.zeros(capacity + 1, np.int64)
-    for k, n in histogram.items():
-        have[k] = n
-    runs: list[tuple[int, int, int, int, int]] = []
-    used = np.zeros(capacity + 1, np.int64)
-    sequences = 0
-
-    def place(length: int, count: int, sequence: int, offset: int) -> None:
-        runs.append((length, int(used[length]), count, sequence, offset))
-        used[length] += count
-
-    if have[capacity]:
-        place(capacity, int(have[capacity]), 0, 0)
-        sequences = int(have[capacity])
-    lengths = np.flatnonzero(have[:capacity])
+def fill(counts: dict[int, int], capacity: int, ascending: bool = False) -> dict[int, int]:
+    """{length: how many} with the longest length of `counts` whose sum is the greatest up to `capacity`.
+
+    A bounded subset sum over bit sets of reachable sums, that takes longer or
+    shorter lengths first.
+    """
+    longest = max(counts)
+    room = capacity - longest
+    reached, steps, mask = 1, [], (1 << (room + 1)) - 1
+    for k in sorted(counts, reverse=not ascending):
+        n = min(counts[k] - (k == longest), room // k)
+        part = 1
+        while n > 0 and not reached >> room & 1:
+            part = min(part, n)
+            steps.append((k, part, reached))
+            reached |= reached << (k * part) & mask
+            n -= part
+            part *= 2
+    out, total = {longest: 1}, reached.bit_length() - 1
+    for k, part, before in reversed(steps):
+        if not before >> total & 1:
+            out[k] = out.get(k, 0) + part
+            total -= k * part
+    return out
+
+
+def fitted(have: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """(pattern as {length: how many}, repeats) fitted to the histogram `have`, within it."""
+    lengths = np.flatnonzero(have)
     chosen = patterns(lengths, capacity) if len(lengths) else []
     columns = [{k: p.count(k) for k in set(p)} for p in chosen]
-    repeat = np.floor(non_negative_fit(columns, np.where(np.arange(capacity + 1) < capacity, have, 0)) + 1e-9).astype(np.int64)
+    repeat = np.floor(non_negative_fit(columns, have) + 1e-9).astype(np.int64)
+    left, out = have.copy(), []
     for p in np.argsort(-repeat, kind="stable").tolist():
-        n = min([int(repeat[p]), *(int((have[k] - used[k]) // v) for k, v in columns[p].items())])
+        n = min([int(repeat[p]), *(int(left[k] // v) for k, v in columns[p].items())])
         if n > 0:
-            at = 0
-            for k in chosen[p]:
-                place(k, n, sequences, at)
+            out.append((columns[p], n))
+            for k, v in columns[p].items():
+                left[k] -= n * v
+    return out
+
+
+def filled(left: dict[int, int], capacity: int, ascending: bool) -> list[tuple[dict[int, int], int]]:
+    """Patterns for all that is left: the longest length filled up as far as the others can, as often as that goes."""
+    left, out = {k: n for k, n in left.items() if n}, []
+    while left:
+        best = fill(left, capacity, ascending)
+        n = min(left[k] // v for k, v in best.items())
+        out.append((best, n))
+        left = {k: m for k, c in left.items() if (m := c - n * best.get(k, 0))}
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
+    """(runs, sequences): rows (length, first rank, count, first sequence, offset) that place every rank of every length.
+
+    The residuals are packed longer lengths first. Where that needs more
+    sequences than the tokens do, other ways are tried as well: shorter lengths
+    first, and all pieces as residuals. The fewest sequences win.
+    """
+    whole = histogram.get(capacity, 0)
+    have = np.zeros(capacity + 1, np.int64)
+    for k, n in histogram.items():
+        have[k] = n if k < capacity else 0
+    least = -(-int((have * np.arange(capacity + 1)).sum()) // capacity)
+    best: list[tuple[dict[int, int], int]] = []
+    for fit in (fitted(have, capacity), []):
+        left = {int(k): int(have[k]) - sum(p.get(int(k), 0) * n for p, n in fit) for k in np.flatnonzero(have)}
+        for ascending in (False, True):
+            found = fit + filled(left, capacity, ascending)
+            if not best or sum(n for _, n in found) < sum(n for _, n in best):
+                best = found
+            if sum(n for _, n in best) <= least:
+                break
+        if sum(n for _, n in best) <= least:
+            break
+    runs: list[tuple[int, int, int, int, int]] = [(capacity, 0, whole, 0, 0)] if whole else []
+    used, sequences = np.zeros(capacity + 1, np.int64), whole
+    for pattern, n in best:
+        at = 0
+        for k, v in sorted(pattern.items(), reverse=True):
+            for _ in range(v):
+                runs.append((k, int(used[k]), n, sequences, at))
+                used[k] += n
                 at += k
-            sequences += n
-    # Best fit for the rest, longest first: bins of one free size are runs of sequences.
-    bins: dict[int, list[tuple[int, int]]] = {}
-    for k in lengths[::-1].tolist():
-        left = int(have[k] - used[k])
-        while left:
-            free = min((f for f in bins if f >= k), default=None)
-            if free is None:
-                free, first, count = capacity, sequences, left
-            else:
-                first, count = bins[free].pop()
-                if not bins[free]:
-                    del bins[free]
-            each = free // k
-            n = min(count, left // each)
-            if not n:
-                n, each = 1, left
-            for t in range(each):
-                place(k, n, first, capacity - free + t * k)
-            left -= n * each
-            if free - each * k:
-                bins.setdefault(free - each * k, []).append((first, n))
-            if first == sequences:
-                sequences += n
-            elif n < count:
-                bins.setdefault(free, []).append((first + n, count - n))
-    table = np.array(sorted(runs), np.int64).reshape(-1, 5)
-    return table, sequences
+        sequences += n
+    return np.array(sorted(runs), np.int64).reshape(-1, 5), sequences
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:

@@ -1,12 +1,14 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: entries of a lexicon of words and word beginnings
-mined from the labelled rows, and patterns of spelling. A generative model of
-their votes, in which the given label is one more voter, is fitted by
-expectation maximisation: how often each voter fires in each class, and how
-far voters fire together beyond what the class explains, which discounts
-them. Its posterior labels train a linear (logistic) classifier on indicators
-of words and word beginnings, and that classifier scores all texts.
+Many voters look at a text: entries of a lexicon of words and word beginnings,
+and patterns of spelling. The labels choose the voters, say which way they
+point, anchor the model and calibrate it, but are no voter themselves. A
+generative model of the votes is fitted by expectation maximisation: how often
+each voter fires in each class (its accuracies) and, along a tree over the
+voters, how that depends on the voter it goes with most (their correlations).
+The posterior of each text is what the votes say, whatever its label; it
+trains a linear (logistic) classifier on indicators of words and word
+beginnings, and that classifier scores all texts.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ FIT_ROWS = 5_000
 #: Lexicon voters and indicators of the classifier at most.
 VOTERS, INDICATORS = 240, 4_000
 
+#: Weight of the labels in the estimation of the voters' rates; the rest is the posterior's.
+ANCHOR = 0.5
+
 #: Lengths of word beginnings, in bytes.
 STEMS = (4, 5, 6)
 
@@ -77,46 +82,107 @@ def pattern_votes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """Firing rates of each voter by class (0, 1), the prior of class 1, and each voter's discount."""
+    """rate[y, u, j]: how often voter j fires in class y where its parent voted u; prior of class 1; slope and shift of the calibration."""
 
+    parent: np.ndarray
     rate: np.ndarray
     prior: float
-    discount: np.ndarray
+    slope: float = 1.0
+    shift: float = 0.0
+
+    def evidence(self, votes: np.ndarray) -> np.ndarray:
+        """Log odds of class 1 by the votes (1 fires, 0 doesn't) of each row, uncalibrated."""
+        over = np.where(self.parent[None] >= 0, votes[:, self.parent], 0).astype(bool)
+        odds = [[np.log(r[1]) - np.log(r[0]) for r in (self.rate[:, u], 1 - self.rate[:, u])] for u in (0, 1)]
+        at = votes.astype(bool)
+        z = np.where(over, np.where(at, odds[1][0], odds[1][1]), np.where(at, odds[0][0], odds[0][1])).sum(1)
+        return np.log(self.prior / (1 - self.prior)) + z
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """P(1) of each row; votes are 1 (fires), 0 (does not) or -1 (absent voter)."""
-        r = np.clip(self.rate, 1e-4, 1 - 1e-4)
-        yes, no = np.log(r[1] / r[0]) * self.discount, np.log((1 - r[1]) / (1 - r[0])) * self.discount
-        z = np.log(self.prior / (1 - self.prior)) + (votes == 1) @ yes + (votes == 0) @ no
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return _logistic(self.slope * self.evidence(votes) + self.shift)
+
+
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 12, given: int = -1, trust: float = 0.98) -> LabelModel:
+def _calibrated(z: np.ndarray, y: np.ndarray, rounds: int = 40) -> tuple[float, float]:
+    """(slope, shift) of the logistic regression of y on z, by damped Newton steps; the slope stays positive."""
+    scale = max(float(np.std(z)) if len(z) else 0.0, 1e-9)
+    middle = float(z.mean()) if len(z) else 0.0
+    x = np.stack([(z - middle) / scale, np.ones(len(z))], 1)
+    ridge, rate = 0.05, (y.sum() + 0.5) / (len(y) + 1)
+    w = np.array([0.0, np.log(rate / (1 - rate))])
+
+    def loss(v: np.ndarray) -> float:
+        return float(np.logaddexp(0, x @ v).sum() - y @ (x @ v) + ridge * v[0] ** 2 / 2)
+
+    now = loss(w)
+    for _ in range(rounds):
+        q = _logistic(x @ w)
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag([ridge, 1e-9]), x.T @ (q - y) + np.array([ridge * w[0], 0.0]))
+        while (new := loss(w - step)) > now + 1e-12 and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w, gain, now = w - step, now - new, new
+        if gain < 1e-7:
+            break
+    slope = max(float(w[0]), 1e-3) / scale
+    return slope, float(w[1]) - slope * middle
+
+
+def _tree(votes: np.ndarray, p: np.ndarray, least: float = 0.002) -> np.ndarray:
+    """Parent of each voter in the spanning forest of most class-conditional mutual information (none below `least` nats)."""
+    m = votes.shape[1]
+    v, gain = votes.astype(float), np.zeros((m, m))
+    for w in (p, 1 - p):
+        total = w.sum() + 1.0
+        both = ((v * w[:, None]).T @ v + 0.25) / total
+        one = ((v * w[:, None]).sum(0) + 0.5) / total
+        cells = [both, one[:, None] - both, one[None] - both, 1 - one[:, None] - one[None] + both]
+        apart = [one[:, None] * one[None], one[:, None] * (1 - one[None]), (1 - one[:, None]) * one[None], (1 - one[:, None]) * (1 - one[None])]
+        gain += total / (len(p) + 2.0) * sum(np.maximum(c, 1e-9) * np.log(np.maximum(c, 1e-9) / np.maximum(a, 1e-9)) for c, a in zip(cells, apart, strict=True))
+    np.fill_diagonal(gain, -1.0)
+    parent = np.full(m, -1)
+    if m:
+        inside = np.zeros(m, bool)
+        inside[0] = True
+        best, of = gain[0].copy(), np.zeros(m, np.int64)
+        for _ in range(m - 1):  # Prim's algorithm on the complete graph of voters
+            k = int(np.where(inside, -np.inf, best).argmax())
+            parent[k] = of[k] if best[k] >= least else -1
+            inside[k] = True
+            better = gain[k] > best
+            best, of = np.where(better, gain[k], best), np.where(better, k, of)
+    return parent
+
+
+def label_model(votes: np.ndarray, start: np.ndarray, given: np.ndarray, rounds: int = 12, anchor: float = ANCHOR) -> LabelModel:
     """Fit by expectation maximisation from the posteriors `start`.
 
-    The voter `given` (the labels) fires rightly in `trust` of either class at
-    least and isn't discounted: the others refine the labels, they don't redefine them.
+    Rates are estimated from the posteriors and, with the weight `anchor`, from
+    the labels `given`: it keeps the classes from turning into something else
+    the votes have in common, such as a language. Labels also set the prior and
+    the calibration. The posterior of a row has its votes alone to go by.
     """
     p = np.clip(start.astype(float), 0.02, 0.98)
-    fires, there = (votes == 1).astype(float), (votes >= 0).astype(float)
-    model = LabelModel(np.zeros((2, votes.shape[1])), 0.5, np.ones(votes.shape[1]))
+    v = votes.astype(float)
+    prior = float(np.clip((given.sum() + 1) / (len(given) + 2), 1e-3, 1 - 1e-3))
+    model = LabelModel(np.full(votes.shape[1], -1), np.zeros((2, 2, votes.shape[1])), prior)
     for _ in range(rounds):
-        weight = np.stack([1 - p, p])
-        model.rate = (weight @ fires + np.array([[0.2], [0.2]])) / (weight @ there + 1.0)
-        model.rate[1, given], model.rate[0, given] = max(model.rate[1, given], trust), min(model.rate[0, given], 1 - trust)
-        model.prior = float(np.clip((p.sum() + 1) / (len(p) + 2), 1e-3, 1 - 1e-3))
-        # correlation of two voters within the classes
-        gap = np.where(there > 0, fires - (p[:, None] * model.rate[1] + (1 - p[:, None]) * model.rate[0]), 0.0)
-        cov = gap.T @ gap / max(1, len(p))
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        corr = cov / sd[:, None] / sd[None, :]
-        np.fill_diagonal(corr, 0.0)
-        model.discount = 1 / (1 + np.where(corr > 0.1, corr, 0.0).sum(1))
-        model.discount[given] = 1.0
+        mixed = anchor * given + (1 - anchor) * p
+        model.parent = _tree(votes, mixed)
+        over = np.where(model.parent[None] >= 0, v[:, model.parent], 0.0)
+        for y, w in enumerate((1 - mixed, mixed)):
+            alone = ((w @ v) + 0.3) / (w.sum() + 2.0)
+            for u, mask in enumerate((1 - over, over)):
+                there = w @ mask
+                model.rate[y, u] = np.clip((w @ (mask * v) + 2.0 * alone) / (there + 2.0), 1e-4, 1 - 1e-4)
+        z = model.evidence(votes)
+        model.slope, model.shift = _calibrated(z, given)
         new = model.posterior(votes)
         moved = float(np.abs(new - p).max())
         p = np.clip(new, 1e-6, 1 - 1e-6)
-        if moved < 1e-4:
+        if moved < 1e-3:
             break
     return model
 
@@ -181,8 +247,10 @@ def train(texts: pa.Array, labels: np.ndarray) -> Classifier:
     lexicon = np.zeros((len(y), len(voters)), np.int8)
     lexicon[row[mine], place[column[mine]]] = 1
     several = np.stack([lexicon.sum(1) >= k for k in (2, 4, 8)], 1) if len(voters) else np.zeros((len(y), 0), bool)
-    votes = np.concatenate([lexicon, several, style, y[:, None]], 1).astype(np.int8)
-    p = label_model(votes, y).posterior(votes)
+    votes = np.concatenate([lexicon, several, style], 1).astype(np.int8)
+    tally = lexicon @ link[voters] if len(voters) else np.zeros(len(y))
+    slope, shift = _calibrated(tally, y)
+    p = label_model(votes, _logistic(slope * tally + shift), y).posterior(votes)
 
     link = _association(count, np.bincount(column, weights=p[row], minlength=len(kinds)), len(y), max(p.sum(), 1e-9))
     chosen = np.sort(np.argsort(-np.abs(link), kind="stable")[:INDICATORS])

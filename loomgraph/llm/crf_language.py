@@ -14,12 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from loomgraph.llm import textvec as T
 
-#: Documents of each language the model is fitted on at most (those of least hash of the id); languages at most.
-FIT_DOCS, MOST_LANGUAGES = 600, 64
+#: Documents the model is fitted on at most: of each language (those of least hash of the id), and of all where there are many languages (one of each at least).
+FIT_DOCS, FIT_TOTAL = 600, 24_000
 
 #: Buckets of the hashed features.
 BITS = 16
@@ -130,7 +130,11 @@ class Field:
 
 
 def train(texts: pa.Array, languages: list[str], seed: int = 3, rounds: int = 160, length: int = 60, width: int = 48) -> Field:
-    """Fit on whole texts and their languages by stochastic gradients of the sequence likelihood."""
+    """Fit on whole texts and their languages by stochastic gradients of the sequence likelihood.
+
+    Null, empty and letterless texts add no word. With fewer than two languages
+    or no word at all every weight is zero. Equal rows count each.
+    """
     names = sorted(set(languages))
     k = len(names)
     label_of = np.array([names.index(x) for x in languages], np.int64)
@@ -202,22 +206,26 @@ def train(texts: pa.Array, languages: list[str], seed: int = 3, rounds: int = 16
     return Field(names, lexicon, weight.astype(np.float32), move)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> Field:
-    """Train on at most `fit_docs` documents of each language: those of least hash of their id.
+def fit(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", fit_docs: int = FIT_DOCS, fit_total: int = FIT_TOTAL) -> Field:
+    """Train on documents of every language there is, at most `fit_docs` of each: those of least hash of their id.
 
-    Which they are is decided on ids and languages alone; their texts come
-    from a scan with a broadcast of those few ids.
+    With over fit_total / fit_docs languages each has an even share of
+    `fit_total`, one document at least. Which they are is decided on ids and
+    languages alone; their texts come from a scan with a broadcast of those few
+    ids. Rows without id or language teach nothing, nor do null and empty
+    texts; rows that repeat an id and a language are all read. Of no rows
+    comes a model that knows no language. Other columns aren't read.
     """
     slim = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    names = [r[0] for r in slim.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(MOST_LANGUAGES).collect()]
-    if not names:
+    languages = slim.select("_lang").distinct().count()
+    if not languages:
         return Field([], np.zeros(0, np.uint64), np.zeros((1 << BITS, 0)), np.zeros((0, 0)))
-    chosen = None
-    for name in names:
-        few = slim.where(F.col("_lang") == name).orderBy(F.xxhash64("_id", F.lit(23)), "_id").limit(fit_docs)
-        chosen = few if chosen is None else chosen.unionAll(few)
-    rows = docs.select(F.col(id_col).alias("_id"), "text", F.col(lang_col).alias("_lang")).join(F.broadcast(chosen.distinct()), ["_id", "_lang"])
-    rows = rows.orderBy(F.xxhash64("_id", F.lit(23)), "_id", "text").limit(fit_docs * len(names)).select("text", "_lang").toArrow()
+    each = max(1, min(fit_docs, fit_total // languages))
+    # the rank's limit is taken before the shuffle too, so a language of a third of all rows costs `each` rows a task
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id", F.lit(23)), "_id"))
+    chosen = slim.distinct().withColumn("_r", place).where(F.col("_r") <= each).drop("_r")
+    rows = docs.select(F.col(id_col).alias("_id"), "text", F.col(lang_col).alias("_lang")).join(F.broadcast(chosen), ["_id", "_lang"])
+    rows = rows.orderBy(F.xxhash64("_id", F.lit(23)), "_id", "text").limit(each * languages).select("text", "_lang").toArrow()
     return train(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), rows.column("_lang").to_pylist())
 
 

@@ -16,7 +16,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomgraph.runtime import materialize
+from loomgraph.runtime import discard, materialize
 
 #: Word of the size count: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +24,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one histogram cell that one rounding group holds at most, about.
 CELL_ROWS = 4000
 
+#: Sources up to which a table of one row a source is broadcast; beyond, Spark joins it as it sees fit.
+FEW_SOURCES = 10_000
+
 #: Single-document moves that close a source's remaining gap after rounding.
 FITS = 3
 
@@ -58,7 +61,11 @@ def source_targets(sizes: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5
     return [(s, n, t) for (s, n), t in zip(rows, target, strict=True)]
 
 
-def _newton(histogram: DataFrame, targets: DataFrame, cap: float, rounds: int, tolerance: float) -> DataFrame:
+def _per_source(df: DataFrame, sources: int) -> DataFrame:
+    return F.broadcast(df) if sources <= FEW_SOURCES else df
+
+
+def _newton(histogram: DataFrame, targets: DataFrame, sources: int, cap: float, rounds: int, tolerance: float) -> DataFrame:
     """(_s, mean, total, target, lam): the dual variable of every source with words.
 
     Safeguarded Newton: a step that leaves the bracket is replaced by bisection
@@ -74,7 +81,7 @@ def _newton(histogram: DataFrame, targets: DataFrame, cap: float, rounds: int, t
         z = F.col("lam") * x
         free = z < math.log(cap)
         sums = (
-            histogram.join(F.broadcast(state.where("NOT done")), "_s")  # one row per source, as the driver holds too
+            histogram.join(_per_source(state.where("NOT done"), sources), "_s")
             .groupBy("_s")
             .agg(
                 F.sum(F.col("n") * F.col("size") * F.when(free, F.exp(z)).otherwise(cap)).alias("got"),
@@ -83,7 +90,7 @@ def _newton(histogram: DataFrame, targets: DataFrame, cap: float, rounds: int, t
         )
         gap = F.col("got") - F.col("target")
         moved = (
-            state.join(F.broadcast(sums), "_s", "left")
+            state.join(_per_source(sums, sources), "_s", "left")
             .withColumn("nlo", F.when(gap < 0, F.col("lam")).otherwise(F.col("lo")))
             .withColumn("nhi", F.when(gap > 0, F.col("lam")).otherwise(F.col("hi")))
             .withColumn("newton", F.when(F.col("slope") > 0, F.col("lam") - gap / F.col("slope")))
@@ -95,13 +102,14 @@ def _newton(histogram: DataFrame, targets: DataFrame, cap: float, rounds: int, t
         )
         good = (F.col("newton") > F.col("nlo")) & (F.col("newton") < F.col("nhi"))
         over = F.col("done") | (F.abs(gap) <= tolerance * F.col("target")) | (F.abs("lam") > far / 10)
-        state = materialize(
+        before, state = state, materialize(
             moved.select(
                 "_s", "mean", "total", "target",
                 F.when(over, F.col("lam")).when(good, F.col("newton")).otherwise(middle).alias("lam"),
                 F.col("nlo").alias("lo"), F.col("nhi").alias("hi"), over.alias("done"),
             )
         )
+        discard(before)
         if not state.where("NOT done").limit(1).count():
             break
     return state.select("_s", "mean", "total", "target", "lam")
@@ -116,14 +124,14 @@ def _rate(cap: float) -> Column:
     )
 
 
-def _rounded(histogram: DataFrame, duals: DataFrame, cap: float) -> DataFrame:
+def _rounded(histogram: DataFrame, duals: DataFrame, sources: int, cap: float) -> DataFrame:
     """Cells (_s, size) with n, rate, low, extra: `extra` rows get low + 1 copies, the rest low.
 
     Copies follow the running total of the rates in order of size, so words
     follow theirs to within half the largest document; a few single moves of
     the document nearest to a source's remaining gap then take up the rest.
     """
-    cells = histogram.join(F.broadcast(duals), "_s", "left").withColumn("rate", _rate(cap))
+    cells = histogram.join(_per_source(duals, sources), "_s", "left").withColumn("rate", _rate(cap))
     cells = cells.withColumn("lane", F.floor(F.sqrt(F.col("size").cast("double"))))
     lanes = cells.groupBy("_s", "lane").agg(F.sum(F.col("n") * F.col("rate")).alias("lane_sum"))
     before = Window.partitionBy("_s").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
@@ -135,21 +143,24 @@ def _rounded(histogram: DataFrame, duals: DataFrame, cap: float) -> DataFrame:
     cells = cells.withColumn("low", F.floor(F.col("rate") + 1e-12).cast("long"))
     cells = cells.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("n"), whole - F.col("low") * F.col("n"))).cast("long"))
     cells = materialize(cells.select("_s", "size", "n", "rate", "target", "low", "extra"))
+    scratch = cells
     for _ in range(FITS):
         gaps = cells.groupBy("_s").agg((F.first("target") - F.sum(F.col("size") * (F.col("low") * F.col("n") + F.col("extra")))).alias("gap"))
         able = F.when(F.col("gap") > 0, F.col("low") * F.col("n") + F.col("extra") < cap * F.col("n")).otherwise(F.col("low") * F.col("n") + F.col("extra") > 0)
         left = F.abs(F.abs("gap") - F.col("size"))
         moves = (
-            cells.join(F.broadcast(gaps), "_s")
+            cells.join(_per_source(gaps, sources), "_s")
             .where(able & (left < F.abs("gap")))
             .groupBy("_s")
             .agg(F.min(F.struct(left.alias("left"), "size", F.signum("gap").cast("long").alias("step"))).alias("move"))
             .select("_s", F.col("move.size").alias("m_size"), F.col("move.step").alias("step"))
         )
-        cells = cells.join(F.broadcast(moves), "_s", "left")
+        cells = cells.join(_per_source(moves, sources), "_s", "left")
         all_copies = F.col("low") * F.col("n") + F.col("extra") + F.when(F.col("m_size") == F.col("size"), F.col("step")).otherwise(0)
         low = F.floor(all_copies / F.col("n"))
-        cells = materialize(cells.select("_s", "size", "n", "rate", "target", low.alias("low"), (all_copies - low * F.col("n")).alias("extra")))
+        before, cells = scratch, materialize(cells.select("_s", "size", "n", "rate", "target", low.alias("low"), (all_copies - low * F.col("n")).alias("extra")))
+        scratch = cells
+        discard(before)
     return cells
 
 
@@ -171,7 +182,7 @@ def mix_sources(
     size and id gets the extra copy makes no difference to the result. An
     input column with the name of a result column is replaced. Sources are
     taken to be few enough for one row each on the driver; nothing else is
-    collected. Reruns agree: ties go by a hash of the id, then the id.
+    collected. No document, no row. Reruns agree: ties go by a hash of the id, then the id.
     """
     names = ["size", "source_size", "target", "rate", "copies", "taken"]
     key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), "source"))
@@ -179,8 +190,9 @@ def mix_sources(
     slim = materialize(rows.groupBy("_s", "source", "size").agg(F.count("*").alias("n")))
     goal = source_targets(slim.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap)
     targets = docs.sparkSession.createDataFrame([("-" if s is None else "=" + s, n, float(t)) for s, n, t in goal], "_s string, source_size long, target double")
-    duals = _newton(slim, targets, cap, rounds, tolerance)
-    cells = _rounded(slim, duals, cap)
+    duals = _newton(slim, targets, len(goal), cap, rounds, tolerance)
+    cells = _rounded(slim, duals, len(goal), cap)
+    discard(slim, duals)
 
     # Rank the rows of a cell: a large cell is cut into parts by a hash of the id, the parts' sizes give each its first rank.
     few = cells.select("_s", "size", "rate", F.col("low").alias("_low"), F.col("extra").alias("_extra"), F.ceil(F.col("n") / CELL_ROWS).alias("_parts"))
@@ -191,5 +203,5 @@ def mix_sources(
     rank = F.row_number().over(Window.partitionBy("_s", "size", "_part").orderBy("_h", id_col))
     out = parted.withColumn("_rank", rank).join(parts, ["_s", "size", "_part"], "left")
     copies = F.col("_low") + F.when(F.col("_rank") + F.coalesce("_first", F.lit(0)) <= F.col("_extra"), 1).otherwise(0)
-    out = out.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("copies") * F.col("size")).join(F.broadcast(targets), "_s")
+    out = out.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("copies") * F.col("size")).join(_per_source(targets, len(goal)), "_s")
     return out.select(*[c for c in docs.columns if c not in names], *names)

@@ -35,8 +35,8 @@ BANDS, ROWS = 24, 3
 #: Members of a band that are compared in one block.
 BAND_BLOCK = 256
 
-#: Documents of one neighbourhood group, about.
-GROUP = 1500
+#: Bytes of text and documents of one neighbourhood group, about; ranges made in the first pass at most, and parts a range over four times too large is divided into in each further one.
+GROUP_BYTES, GROUP, RANGES, PARTS = 6 << 20, 1500, 4096, 16
 
 _BLOCK = 1 << 20
 
@@ -201,7 +201,10 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id")
     Equal fingerprints are one class (its least id stands for it). Classes that
     share a band are candidates; their fingerprints are then compared. A crowded
     band is compared block by block, so no task holds more than two blocks.
-    Null ids take no part.
+    Null ids take no part; null texts are empty, and empty ones are one class.
+    Rows that repeat an id are texts of their own. No row, no pair; other
+    columns aren't read. Pairs hold representatives: `fingerprint_classes` has
+    the documents of each.
     """
     prints = materialize(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), fingerprint(F.col("text")).alias("fp")).groupBy("fp").agg(F.min("id").alias("id")))
 
@@ -222,6 +225,13 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id")
     return pairs.select("src", "dst", likeness(F.col("p"), F.col("q")).alias("likeness")).where(F.col("likeness") >= threshold)
 
 
+def fingerprint_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, fingerprint, representative) of every row: the least id of those with an equal fingerprint, by which near_pairs names it."""
+    prints = materialize(docs.select(F.col(id_col).alias("id"), fingerprint(F.col("text")).alias("fingerprint")))
+    least = prints.groupBy("fingerprint").agg(F.min("id").alias("representative"))
+    return prints.join(least, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "representative")
+
+
 def next_edited(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Each document's fingerprint, that of its edited text, and its likeness to that and to the next document.
 
@@ -230,29 +240,44 @@ def next_edited(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     points replaced by as many of the next document's first ones (or all it
     has). Null texts are empty; the only document is its own neighbour.
 
-    Ids are cut into ranges at their quantiles; the first document of each
-    range also goes to the range before it, so every neighbour is at hand and
-    texts move once.
+    Ids are integers. They are cut into ranges at their quantiles, ranges of
+    too much text again at theirs (unless they are one id); the first document
+    of each range also goes to the range before it, so every neighbour is at
+    hand and texts move once. The driver holds one id a range, that is one for
+    some megabytes of text.
     """
     import hashlib
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    total = rows.count()
-    ranges = max(1, min(8192, total // GROUP))
-    bounds: list = []
-    if ranges > 1:
-        at = [k / ranges for k in range(1, ranges)]
-        bounds = sorted(set(rows.select(F.percentile_approx("doc_id", at, 10 * ranges)).first()[0] or []))
-
-    @F.arrow_udf("int")
-    def range_of(ids: pa.Array) -> pa.Array:
-        at = np.searchsorted(np.array(bounds, np.int64), np.asarray(pc.fill_null(ids.cast(pa.int64()), 0)), "right")
-        return pc.if_else(pc.is_null(ids), pa.scalar(-1, pa.int32()), pa.array(at.astype(np.int32)))
-
-    # null ids follow all others, in a range of their own
-    placed = rows.withColumn("range", range_of(F.col("doc_id")) if bounds else F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(0))
-    firsts = {r["range"]: r["first"] for r in placed.groupBy("range").agg(F.max("doc_id").alias("first")).collect()}  # one row a range
+    total, volume = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    ranges = max(1, min(RANGES, max(total // GROUP, volume // GROUP_BYTES)))
+    cuts = lambda n: F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n)
+    bounds = sorted(set(rows.select(cuts(ranges)).first()[0] or [])) if ranges > 1 else []
+
+    def ranged(bounds: list) -> DataFrame:
+        @F.arrow_udf("int")
+        def range_of(ids: pa.Array) -> pa.Array:
+            at = np.searchsorted(np.array(bounds, np.int64), np.asarray(pc.fill_null(ids.cast(pa.int64()), 0)), "right")
+            return pc.if_else(pc.is_null(ids), pa.scalar(-1, pa.int32()), pa.array(at.astype(np.int32)))
+
+        # null ids follow all others, in a range of their own
+        return rows.withColumn("range", range_of(F.col("doc_id")) if bounds else F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(0))
+
+    while True:
+        placed = ranged(bounds)
+        found = placed.groupBy("range").agg(F.max("doc_id").alias("first"), F.min("doc_id").alias("last"), F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("volume")).collect()
+        large = [r["range"] for r in found if r["range"] >= 0 and r["first"] != r["last"] and (r["volume"] > 4 * GROUP_BYTES or r["n"] > 4 * GROUP)]
+        if not large:
+            break
+        marked = placed.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in large], "range int")), "range")
+        new = {x for r in marked.groupBy("range").agg(cuts(PARTS).alias("at")).collect() for x in r["at"]} - set(bounds)
+        # the greatest id is a bound as well, so that every pass divides a range of several ids
+        new |= {r["first"] for r in found if r["range"] in set(large)} - set(bounds)
+        if not new:
+            break
+        bounds = sorted(new.union(bounds))
+    firsts = {r["range"]: r["first"] for r in found}
     falling = sorted(firsts, reverse=True)
     guest_of = {falling[k]: falling[k - 1] for k in range(len(falling))}  # the top range's first goes to the last range
     head = F.lit(None).cast("int")

@@ -1,6 +1,7 @@
 """Naive Bayes support vectors: a linear classifier of n-gram indicators.
 
-Indicators of word and word-shape n-grams are scaled by the log-count ratio of
+Indicators of word and word-shape n-grams, and of bands of a text's length, its
+repetition and its lines, are scaled by the log-count ratio of
 the two classes (add-alpha) and a hinge-loss linear
 model is fitted on them by dual coordinate descent. Margins become
 probabilities by a logistic curve fitted by cross-fitting on the same rows.
@@ -156,7 +157,8 @@ class Model:
 def train(texts: pa.Array, labels: np.ndarray, alpha: float = 1.0, cost: float = 1.0) -> Model:
     """Fit on a bounded set of texts with labels 0/1.
 
-    With one class or no rows the score is that class's smoothed share.
+    With one class or no rows the score is that class's smoothed share. Null
+    and empty texts are rows without words; equal rows count each.
     """
     y = np.where(np.asarray(labels) == 1, 1.0, -1.0)
     if not len(y) or (y == y[0]).all():
@@ -203,7 +205,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model:
-    """Train on a bounded sample of the labelled documents."""
+    """Train on a bounded sample of the labelled documents (see labelled_sample and train).
+
+    Texts are read whole, however long. Of an id that several rows repeat all
+    count, within the bound. Columns but the id and the text aren't read.
+    """
     rows = labelled_sample(docs, labels, label, id_col, fit_rows)
     return train(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), np.asarray(rows.column("label")))
 

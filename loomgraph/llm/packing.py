@@ -399,6 +399,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
-    """Tokenize and pack: (id, piece, start, length, ids_crc32, sequence_id, offset)."""
+    """Tokenize and pack: (id, piece, start, length, ids_crc32, sequence_id, offset).
+
+    As tokenize and pack: null and empty texts are one id, long ones are cut,
+    repeated rows (of one id too) each have their pieces, null ids take part,
+    no document gives no row, and other columns aren't read.
+    """
     pieces = tokenize(docs, path, capacity, id_col=id_col).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(materialize(pieces), capacity, (id_col, "piece", "ids_crc32"))

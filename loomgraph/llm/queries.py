@@ -68,6 +68,22 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP5_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM d WHERE len(h) >= 200)),
+f AS (SELECT k, min((doc_id, p)) AS first FROM w GROUP BY k HAVING count(*) > 1),
+r AS (SELECT w.doc_id, p FROM w JOIN f ON w.k = f.k AND (w.doc_id, p) <> f.first),
+g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM r)),
+s AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY 1, 2),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+o AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last FROM s GROUP BY 1),
+t AS (SELECT k.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM k JOIN d ON k.doc_id = d.doc_id GROUP BY 1)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN o ON d.doc_id = o.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
+
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego_join.cosine_links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("embedding")
 
@@ -124,5 +140,6 @@ QUERIES = {
 
 ORACLES = {
     "op2_url_filter": OP2_SQL,
+    "op5_suffix_dedup": OP5_SQL,
     "op6_embeddings": OP6_SQL,
 }

@@ -217,7 +217,10 @@ def _association(count: np.ndarray, of: np.ndarray, total: float, positive: floa
 
 
 def train(texts: pa.Array, labels: np.ndarray) -> Classifier:
-    """Fit both models on a bounded set of labelled texts; with one class or no rows the score is its smoothed share."""
+    """Fit both models on a bounded set of labelled texts; with one class or no rows the score is its smoothed share.
+
+    Null and empty texts are rows for which no voter but those of few words fires; equal rows count each.
+    """
     y = (np.asarray(labels) == 1).astype(float)
     prior = (y.sum() + 1) / (len(y) + 2)
     if not len(y) or y.min() == y.max():
@@ -274,6 +277,9 @@ def train(texts: pa.Array, labels: np.ndarray) -> Classifier:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> Classifier:
-    """Train on the `fit_rows` labelled documents of least hash of their id (see nbsvm.labelled_sample)."""
+    """Train on the `fit_rows` labelled documents of least hash of their id (see nbsvm.labelled_sample and train).
+
+    Texts are read whole, however long. Columns but the id and the text aren't read.
+    """
     rows = labelled_sample(docs, labels, label, id_col, fit_rows)
     return train(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), np.asarray(rows.column("label")))

@@ -67,6 +67,18 @@ def test_classifiers_with_one_class_or_none(train):
     assert s[0] == s[1] > 0.5
 
 
+def test_posteriors_recover_flipped_labels():
+    r = np.random.default_rng(3)
+    y = (r.random(600) < 0.3).astype(float)
+    votes = (r.random((600, 12)) < np.where(y[:, None] == 1, 0.6, 0.08)).astype(np.int8)
+    votes = np.concatenate([votes, votes[:, :4]], 1)  # voters that copy others tell nothing new
+    flipped = np.where(r.random(600) < 0.15, 1 - y, y)
+    model = weak_toxicity.label_model(votes, weak_toxicity._logistic(votes[:, :12].sum(1) - 3.0), flipped)
+    p = model.posterior(votes)
+    assert ((p >= 0.5) != y).mean() < 0.03 < 0.1 < (flipped != y).mean()
+    assert (np.sort(model.parent[12:]) == np.arange(4)).all() or sum(model.parent[k] == k - 12 or model.parent[k - 12] == k for k in range(12, 16)) == 4
+
+
 def test_classify_odd_rows(spark, odd, none):
     x, y = labelled(60)
     for module in (nbsvm, weak_toxicity):
@@ -100,6 +112,14 @@ def test_crf_labels_switching_text(spark, odd, none):
     assert crf_language.identify(none, crf_language.fit(none)).count() == 0
 
 
+def test_crf_learns_every_language(spark):
+    rows = [(100 * k + j, " ".join(random.Random(100 * k + j).choices([f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in ("ra", "mo", "ti")], k=30)), f"l{k:02}") for k in range(70) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    field = crf_language.fit(docs, fit_total=140)
+    got = crf_language.identify(docs, field).collect()
+    assert len(field.languages) == 70 and np.mean([r.lang == r.lang_pred for r in got]) > 0.9
+
+
 def test_crf_marginals_equal_enumeration():
     rng = np.random.default_rng(3)
     score, move = rng.normal(size=(5, 3)).astype(np.float32), rng.normal(size=(3, 3))
@@ -138,6 +158,10 @@ def test_encoder_equals_the_tokenizer():
     r = random.Random(4)
     atoms = ["'", "s", "ll", "re", " ", "  ", "\n", "a", "É", "9", "!", "'s", "　", "\u0085", "日本", "😀", "''", "x"]
     texts = ["".join(r.choice(atoms) for _ in range(r.randint(0, 30))) for _ in range(800)] + ["", words(5, 3000)]
+    pair = ["a"]
+    while len(pair[0]) < 2048:  # a word and its swapped twin, which polynomial hashes modulo 2**64 can't tell apart
+        pair = [pair[0] + pair[0].translate({97: 98, 98: 97})]
+    texts += [pair[0], pair[0].translate({97: 98, 98: 97}), pair[0][:1024] + " x", " " + pair[0][1024:]]
     data, off = packing.T.flat(pa.array(texts))
     coder = packing.Encoder(vocabulary())
     for i, j in packing.T.slices(off, 4000):
@@ -163,12 +187,12 @@ def test_plan_places_every_rank_once(seed):
             assert at == end
             end = at + length
         assert end <= 256
-    assert len(used) == n and n <= -(-int(lengths.sum()) // 256) * 1.03 + 1
+    assert len(used) == n and n == -(-int(lengths.sum()) // 256)
 
 
 def test_pack_documents(spark, odd, none):
     got = packing.pack_documents(odd, vocabulary()).toPandas()
-    assert len(got.drop_duplicates()) <= len(got) and (got.length <= 2048).all()
+    assert got.sequence_id.nunique() == -(-int(got.length.sum()) // 2048) and (got.length <= 2048).all() and len(got[got.doc_id == 2]) == 2
     for _, g in got.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert (g.offset == g.length.cumsum() - g.length).all()
@@ -216,12 +240,40 @@ def test_repeats_odd_rows(spark, odd, none):
     assert by[4][0].n_bytes == by[5][0].n_bytes == 0 and by[9][0].n_removed == 150 and by[10][0].n_removed > 400
 
 
-def test_repeat_groups_name_all_members(spark):
+def test_parts_of_a_long_text_have_its_anchors():
+    texts = [words(5, 3000), "", "short", words(6, 60) + "ab" * 400 + words(7, 300), "x" * 5000]
+    data, off = suffix_dedup.T.flat(pa.array(texts))
+    found = [np.concatenate(x) for limit in (1 << 20, 700) for x in [list(zip(*suffix_dedup.anchored(data, off, limit=limit), strict=True))] for x in x]
+    whole, parts = found[:6], found[6:]
+    for a, b in zip(whole, parts, strict=True):
+        assert (a[np.lexsort((whole[1], whole[0]))] == b[np.lexsort((parts[1], parts[0]))]).all()
+
+
+def test_repeats_in_one_text_of_20_mb(spark):
+    block = words(8, 200_000)
+    text = block + " " + words(9, 2_000_000)[: 20_000_000 - 2 * len(block)] + " " + block
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("n_bytes", "n_removed").first()
+    assert got.n_bytes == len(text) and got.n_removed >= len(block)
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    shared = words(31, 40)
+    docs = [(7, shared + words(32, 40)), (7, words(33, 40) + shared), (None, words(34, 40) + shared), (None, words(35, 40))]
+    got = sorted((x.doc_id is None, x.n_removed) for x in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    n = len(shared)
+    assert [a for a, _ in got] == [False, False, True, True] and [n <= x < n + 12 or x == 0 for _, x in got] == [True] * 4 and sum(x > 0 for _, x in got) == 2
+
+
+@pytest.mark.parametrize("crowd", [4000, 1])
+def test_repeat_groups_name_all_members(spark, crowd):
     shared = words(77, 30)
-    docs = [(k, f"{words(100 + k, 20)} {shared} {words(200 + k, 20)}") for k in range(4)]
-    got = suffix_dedup.repeat_groups(spark.createDataFrame(docs, "doc_id long, text string")).toPandas()
-    whole = got[got.length >= 100]
-    assert (whole.groupby("repeat_id").doc.nunique() == 4).any() and (whole.groupby("repeat_id")["first"].sum() == 1).all()
+    docs = [(k, f"{words(100 + k // 2, 20)} {shared} {words(200 + k // 2, 20)}") for k in range(8)]
+    got = suffix_dedup.repeat_groups(spark.createDataFrame(docs, "doc_id long, text string"), crowd=crowd).toPandas()
+    assert (got.length >= 100).all() and (got.groupby("repeat_id")["first"].sum() == 1).all()
+    text = dict(docs)
+    for _, g in got.groupby("repeat_id"):
+        assert len({text[d][s : s + n] for d, s, n in zip(g.doc, g.start, g.length, strict=True)}) == 1 and g.loc[g["first"], "doc"].item() == g.doc.min()
+    assert (got.groupby("repeat_id").doc.nunique() == 8).any() and (got.groupby("repeat_id").doc.nunique() == 2).any()
 
 
 # ---- 6: embeddings ----
@@ -282,14 +334,38 @@ def test_next_edited(spark, odd, none, monkeypatch):
         t, o = t or "", order[(k + 1) % len(order)][1] or ""
         e = t[: len(t) - len(t) // 3] + o[: len(t) // 3]
         assert got[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest() and got[i].n_chars == len(t)
+    monkeypatch.setattr(edit_embedding, "GROUP_BYTES", 300)  # ranges are divided until they are small or one id
+    again = {r.doc_id: r for r in edit_embedding.next_edited(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert again == got
     assert edit_embedding.next_edited(odd).count() == 13 and edit_embedding.next_edited(none).count() == 0
 
 
-def test_near_pairs(spark, odd):
+def test_near_pairs(spark, odd, none):
     base = words(11, 300)
     docs = [(1, base), (2, base), (3, base[:700] + "X" + base[700:]), (4, words(12, 300))]
-    got = edit_embedding.near_pairs(spark.createDataFrame(docs, "doc_id long, text string"), 0.7).collect()
-    assert [(r.src, r.dst) for r in got] == [(1, 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert [(r.src, r.dst) for r in edit_embedding.near_pairs(df, 0.7).collect()] == [(1, 3)]
+    assert sorted((r.doc_id, r.representative) for r in edit_embedding.fingerprint_classes(df).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    assert all(r.src < r.dst and r.likeness >= 0.8 for r in edit_embedding.near_pairs(odd).collect())
+    assert edit_embedding.near_pairs(none).count() == 0 and edit_embedding.fingerprint_classes(odd).count() == 13
+
+
+def test_near_pairs_against_all_pairs(spark):
+    r = random.Random(21)
+    docs = []
+    for k in range(60):
+        base = words(500 + k, 60)
+        docs.append((3 * k, base))
+        for j in (1, 2):
+            at = r.randrange(len(base))
+            docs.append((3 * k + j, base[:at] + "Q" * j + base[at + 1 :]))
+    least = {}
+    for (i, _), fp in zip(docs, edit_embedding.embed([t for _, t in docs]), strict=True):
+        least.setdefault(fp, i)
+    prints = {i: fp for fp, i in least.items()}
+    want = {(i, j) for i in prints for j in prints if i < j and edit_embedding.likeness_of(prints[i], prints[j]) >= 0.8}
+    got = {(x.src, x.dst) for x in edit_embedding.near_pairs(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 60
 
 
 # ---- 8: mixing ----
@@ -371,6 +447,7 @@ def test_links_equal_brute_force(spark, monkeypatch, distance, paired):
 
 
 def test_dedupe_keeps_one(spark, odd, none):
-    got = sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.dedupe(odd).select("doc_id").collect())
-    assert [i for missing, i in got if not missing] == [1, 4, 7, 8, 9, 10] or [i for missing, i in got if not missing] == [1, 3, 4, 7, 8, 9, 10]
-    assert sum(missing for missing, _ in got) == 2 and simhash.dedupe(none).count() == 0
+    got = [r.doc_id for r in simhash.dedupe(odd).select("doc_id").collect()]
+    # 2 repeats 1, 3 has but one more word, 5 and 6 are blank as 4 is, 9 begins as 1 does but is too short to be alike
+    assert sorted(i for i in got if i is not None) == [1, 4, 7, 8, 9, 10]
+    assert got.count(None) == 2 and simhash.dedupe(none).count() == 0

@@ -14,9 +14,10 @@ left, and that doesn't lie within one child to the right, is a maximal repeat,
 reported with all its members. All occurrences of a repeat but the first, in
 order of document and place, are removed.
 
-A gram with very many different contexts is split: any string over it shares
-either the bytes of its first half of offsets or those of its second, so the
-members are dealt anew by either, until groups are small or hold one string.
+A gram with very many different contexts is split: all members are compared
+with the earliest one, which shows each a repeat as far as the two agree. What
+else a member repeats goes further to the left or to the right than that, so
+members are dealt anew by one byte more to either side, until groups are small.
 """
 
 from __future__ import annotations
@@ -300,34 +301,55 @@ def _contexts(text: DataFrame, classes: DataFrame, width: int, gram: int) -> Dat
     return text.join(per_text, ["doc", "mark"]).select("doc", "mark", "text", "at").mapInArrow(T.tidy(cut), f"{_CLASS}, kinds long, left binary, right binary")
 
 
-def _by_groups(contexts: DataFrame, width: int, gram: int, crowd: int, scan: Callable[[DataFrame], DataFrame], leaf: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What `scan` finds in the groups of at most `crowd` contexts and `leaf` in larger ones that share a whole string.
+def _agreement(width: int, gram: int) -> Callable[..., Column]:
+    @F.arrow_udf("a int, b int")
+    def agree(left: pa.Array, first_left: pa.Array, right: pa.Array, first_right: pa.Array) -> pa.Array:
+        out = []
+        for x, y, size in ((left, first_left, width - gram), (right, first_right, width)):
+            (p, n), (q, m) = _padded(x, size), _padded(y, size)
+            out.append(pa.array(_common(p, q, np.minimum(n, m)).astype(np.int32)))
+        return pa.StructArray.from_arrays(out, ["a", "b"])
+
+    return agree
+
 
-    The first groups are those of one gram, which hold the strings that begin
-    lo = 0 to hi = width - gram bytes before the anchor. A larger group's range
-    is halved: the strings of either half share more bytes, by which its
-    members are dealt anew; members alone with theirs are done. So nothing of a
-    crowd's size ever meets in a task, however alike its members are.
+def _by_groups(contexts: DataFrame, width: int, gram: int, crowd: int, scan: Callable[[DataFrame], DataFrame], pair: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `scan` finds in the groups of at most `crowd` contexts, and `pair` in members of larger ones that repeat the earliest.
+
+    A member looks for strings that begin lo to hi bytes before its anchor. Its
+    group shares p bytes to the left and q to the right; with the group's
+    earliest member it shares a and b. Strings within these are repeats, and
+    the earliest has no earlier occurrence of its own. Others begin more than
+    a bytes before the anchor (whoever shares them shares a + 1 bytes to the
+    left) or end more than b bytes after it: by these bytes the member is dealt
+    to at most two groups, with ranges that don't overlap. Members alone with
+    theirs are done. Nothing of a crowd's size ever meets in a task.
     """
     columns = [*(x.split()[0] for x in _CLASS.split(", ")), "left", "right"]
-    groups = contexts.withColumns({"key": F.col("gram"), "lo": F.lit(0), "hi": F.lit(width - gram)})
-    found, scratch = [], []
-    while True:
-        large = groups.where(F.col("kinds") > crowd)
+    state = ["key", "p", "q", "lo", "hi"]
+    found = [materialize(scan(_sorted(contexts.where(F.col("kinds") <= crowd).select(F.col("gram").alias("key"), *columns))))]
+    starts = {"key": F.col("gram"), "p": F.lit(0), "q": F.lit(gram), "lo": F.greatest(F.lit(0), width - F.octet_length("right")), "hi": F.least(F.lit(width - gram), F.octet_length("left"))}
+    dealt = contexts.where(F.col("kinds") > crowd).withColumns(starts).select(*columns, *state)
+    agree, scratch = _agreement(width, gram), None
+    while dealt.limit(1).count():
+        sized = dealt.groupBy("key").agg(F.count("*").alias("kinds"), F.min(F.struct("doc", "mark", "place", "c1", "left", "right")).alias("f")).where("kinds > 1")
+        joined = dealt.join(sized.withColumn("f", F.when(F.col("kinds") > crowd, F.col("f"))), "key")
+        groups = materialize(joined.withColumn("s", F.when(F.col("f").isNotNull(), agree("left", "f.left", "right", "f.right"))).withColumn("f", F.struct("f.doc", "f.mark", "f.place", "f.c1")))
+        others = groups.where((F.col("kinds") > crowd) & (F.struct("doc", "mark", "place") != F.struct("f.doc", "f.mark", "f.place"))).select("*", "s.a", "s.b").drop("s")
         small = scan(_sorted(groups.where(F.col("kinds") <= crowd).select("key", *columns)))
-        found.append(materialize(small.unionByName(leaf(large.where("lo = hi"))) if scratch else small))
-        large = large.where("lo < hi")
-        if not large.limit(1).count():
-            break
-        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        halves = F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi")))
-        dealt = large.select(*columns, F.explode(halves).alias("o")).select(*columns, "o.*").where((F.octet_length("left") >= F.col("lo")) & (F.octet_length("right") >= width - F.col("hi")))
-        shared = F.xxhash64("gram", "lo", F.substring("left", F.lit(1), F.col("lo")), F.substring("right", F.lit(1), width - F.col("hi")))
-        dealt = dealt.withColumn("key", shared)
-        groups = materialize(dealt.join(dealt.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "key"))
-        discard(*scratch)
-        scratch = [groups]
-    discard(*scratch)
+        found.append(materialize(small.unionByName(pair(others.where(F.col("a") + F.col("b") >= width)))))
+        step = lambda *values: F.struct(*[v.alias(k) for k, v in zip(("side", "p", "q", "lo", "hi"), values, strict=True)])
+        p, q, lo, hi, one, two = (F.col(k) for k in ("p", "q", "lo", "hi", "a", "b"))
+        options = F.array(step(F.lit(0), one + 1, q, F.greatest(lo, one + 1), hi), step(F.lit(1), p, two + 1, lo, F.least(hi, width - 1 - two, one)))
+        ranges = F.filter(options, lambda o: (o["lo"] <= o["hi"]) & (o["p"] <= F.octet_length("left")) & (o["q"] <= F.octet_length("right")))
+        split = others.select(*columns, F.col("key").alias("of"), F.explode(ranges).alias("o")).select(*columns, "of", "o.*")
+        shared = F.xxhash64("of", "side", "p", "q", F.substring("left", F.lit(1), F.col("p")), F.substring("right", F.lit(1), F.col("q")))
+        dealt = split.withColumn("key", shared).select(*columns, *state)
+        if scratch is not None:
+            discard(scratch)
+        scratch = groups
+    if scratch is not None:
+        discard(scratch)
     return reduce(DataFrame.unionByName, found)
 
 
@@ -341,19 +363,19 @@ def repeat_groups(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd:
 
     first marks the earliest. A repeat is reported for each anchor in it, as
     far as the anchor's context of `width` bytes to either side goes, so a long
-    one comes in overlapping parts. In a crowd of more than `crowd` contexts
-    that share one string of `width` bytes, that string is reported, not what
-    parts of the crowd share beyond it. doc and mark are those of repeated_spans.
+    one comes in overlapping parts. In a crowd of more than `crowd` contexts a
+    repeat is what members have in common with the earliest, and names those
+    that share just as much with it. doc and mark are those of repeated_spans.
     """
     text, rows, classes = _classes(docs, _mark(docs, id_col), width, gram, id_col)
     contexts = materialize(_contexts(text, classes, width, gram))
 
-    def leaf(group: DataFrame) -> DataFrame:
-        least = group.groupBy("key").agg(F.min(F.struct("doc", "mark", "place")).alias("f"))
-        extent = [F.col("lo").alias("l"), (width - F.col("lo")).alias("r")]
-        return group.join(least, "key").select(F.col("key").alias("repeat_id"), *extent, "gram", "c1", "doc", "mark", "place", (F.struct("doc", "mark", "place") == F.col("f")).alias("first"))
+    def pair(others: DataFrame) -> DataFrame:
+        ends = F.array(F.struct("c1", "doc", "mark", "place", F.lit(False).alias("first")), F.struct("f.c1", "f.doc", "f.mark", "f.place", F.lit(True).alias("first")))
+        both = others.select(F.xxhash64("f.c1", "a", "b").alias("repeat_id"), F.col("a").alias("l"), F.col("b").alias("r"), "gram", F.explode(ends).alias("m"))
+        return both.select("repeat_id", "l", "r", "gram", "m.*")
 
-    found = _by_groups(contexts, width, gram, crowd, lambda g: g.mapInArrow(T.tidy(lambda b: _scan(b, width, gram, True)), _GROUPS), leaf).distinct()
+    found = _by_groups(contexts, width, gram, crowd, lambda g: g.mapInArrow(T.tidy(lambda b: _scan(b, width, gram, True)), _GROUPS), pair).distinct()
     alone = classes.where("n > 1").select(
         F.col("c1").alias("repeat_id"), F.least(_position(), F.lit(width - gram)).cast("int").alias("l"), _ahead().cast("int").alias("r"), "gram", "c1", "doc", "mark", "place", F.lit(True).alias("first")
     )
@@ -376,11 +398,7 @@ def _spans(docs: DataFrame, mark: Column, width: int, gram: int, crowd: int, id_
     text, rows, classes = _classes(docs, mark, width, gram, id_col)
     contexts = materialize(_contexts(text, classes, width, gram))
 
-    def leaf(group: DataFrame) -> DataFrame:
-        least = group.groupBy("key").agg(F.min(F.struct("doc", "mark", "place")).alias("f"))
-        return group.join(least, "key").where(F.struct("doc", "mark", "place") != F.col("f")).select("gram", "c1", F.col("lo").alias("l"), (width - F.col("lo")).alias("r"))
-
-    extents = _by_groups(contexts, width, gram, crowd, lambda g: g.mapInArrow(T.tidy(lambda b: _scan(b, width, gram)), _EXTENTS), leaf)
+    extents = _by_groups(contexts, width, gram, crowd, lambda g: g.mapInArrow(T.tidy(lambda b: _scan(b, width, gram)), _EXTENTS), lambda others: others.select("gram", "c1", F.col("a").alias("l"), F.col("b").alias("r")))
     discard(contexts)
     most = extents.groupBy("gram", "c1").agg(F.max("l").alias("l"), F.max("r").alias("r"))
     # written, so that the next join has two plain sides: only then is a crowded class split over tasks

@@ -164,7 +164,7 @@ def parity_soundex(name: pd.Series) -> pd.Series:
             digit = code.get(c, "")
             if digit and digit != last:
                 out += digit
-            if s[len(out) - 1] not in "hw":
+            if digit or s[len(out) - 1] not in "hw":
                 last = digit
         return (out + "000")[:4]
 

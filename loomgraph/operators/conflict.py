@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.runtime import materialize
 
 #: Authority of each source system (fixed values).
 AUTHORITY = {
@@ -85,7 +86,11 @@ def classify(claims: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     then the verdict of a classifier given as a table (subject, predicate,
     classification), CONTRADICTION by default.
     """
-    marked = supersession(claims)
+    return _classified(materialize(supersession(claims)), verdicts)
+
+
+def _classified(marked: DataFrame, verdicts: DataFrame | None) -> DataFrame:
+    """`classify` of claims that supersession has marked."""
     rest = marked.where("NOT superseded")
     per_group = marked.groupBy(*GROUP).agg(F.bool_or("group_superseded").alias("gone"))
     left = rest.groupBy(*GROUP).agg(F.count_distinct("object_key").alias("left"))
@@ -106,8 +111,9 @@ def classify(claims: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
 
 def contradicting(claims: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """Claims, not superseded, of the groups classified as contradictions."""
-    kinds = classify(claims, verdicts).where("classification = 'CONTRADICTION'").select(*GROUP)
-    return supersession(claims).where("NOT superseded").join(kinds, GROUP, "left_semi")
+    marked = materialize(supersession(claims))
+    kinds = _classified(marked, verdicts).where("classification = 'CONTRADICTION'").select(*GROUP)
+    return marked.where("NOT superseded").join(kinds, GROUP, "left_semi")
 
 
 def trust(claims: DataFrame) -> DataFrame:
@@ -161,7 +167,7 @@ def adjudicate(values: DataFrame) -> DataFrame:
 
 def conflict_sets(claims: DataFrame, verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(sets, members) to store: adjudicated contradictions and the claims each involves."""
-    left = contradicting(claims, verdicts)
+    left = materialize(contradicting(claims, verdicts))
     cid = F.concat(F.lit("ConflictSet:"), F.substring(F.md5(F.concat_ws("\x1f", *GROUP)), 1, 24)).alias("conflict_id")
     counts = left.groupBy(*GROUP).agg(F.count("*").alias("claim_count"), F.size(F.collect_set("source_system")).alias("n_systems"))
     sets = adjudicate(trust(left)).join(counts, GROUP).select(cid, "*")

@@ -239,7 +239,7 @@ def invariants(scored: DataFrame, clusters: DataFrame, feats: DataFrame) -> Data
 def mode(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The most frequent non-null `value` per key; of equals the least."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    return counts.groupBy(*keys).agg(F.max_by(value, F.struct("_n", F.transform(F.split(F.hex(F.encode(F.col(value).cast("string"), "UTF-8")), ""), lambda c: -F.ascii(c)))).alias(value))
+    return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value))).alias(value))
 
 
 def canonicalize(feats: DataFrame, clusters: DataFrame, roster: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -59,3 +59,11 @@ def error_counts(rows: DataFrame) -> DataFrame:
     """(category, n) of the answers that aren't correct."""
     kind = error_category(F.col("question_type"), F.col("abstained"), F.col("recall"), F.col("correct"))
     return rows.where("NOT correct").groupBy(kind.alias("category")).agg(F.count("*").alias("n"))
+
+
+def failure_sample(rows: DataFrame, n: int = 30, seed: int = 42) -> DataFrame:
+    """`n` of the answers that aren't correct, with their category: those of least hash of the id, so reruns agree."""
+    from loomgraph.operators.sampling import simple_sample
+
+    kind = error_category(F.col("question_type"), F.col("abstained"), F.col("recall"), F.col("correct"))
+    return simple_sample(rows.where("NOT correct").withColumn("category", kind), "question_id", n, seed)

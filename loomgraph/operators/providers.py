@@ -33,12 +33,13 @@ def cache_key(provider: str, version: str, prompt: Column) -> Column:
 
 
 def complete(prompts: DataFrame, task: str, provider: Provider, cache: DataFrame | None = None, version: str = "1") -> DataFrame:
-    """`prompts` (id, prompt) with key, response and cached; prompts in the cache (key, response) aren't sent again."""
+    """`prompts` (id, prompt) with key, response and cached; prompts in the cache (key, response; of a repeated key the least) aren't sent again."""
     keyed = prompts.withColumn("key", cache_key(provider.name, version, F.col("prompt")))
     known = None
     if cache is not None:
-        known = keyed.join(cache.select("key", "response"), "key").withColumn("cached", F.lit(True))
-        keyed = keyed.join(cache.select("key"), "key", "left_anti")
+        one = cache.groupBy("key").agg(F.min("response").alias("response"))
+        known = keyed.join(one, "key").withColumn("cached", F.lit(True))
+        keyed = keyed.join(one, "key", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.runtime import materialize
 
 MAX_KEYS, MAX_HOPS, NEAR_MISSES = 30, 3, 3
 WEAK_TRUST, FEW_SOURCES = 0.35, 2
@@ -85,22 +86,24 @@ def multihop(starts: DataFrame, targets: DataFrame, edges: DataFrame, max_hops:
     """(question_id, hop, reached) of the first hop at which a question's frontier meets its targets.
 
     `starts` and `targets` are (question_id, key), `edges` (src, dst), walked
-    either way. Each hop is one join of the frontier with the edges and one
-    anti-join with what was seen; there are `max_hops` of them.
+    either way. Edges are written once and the frontier once a hop; questions
+    that have met their targets walk no further, and the last hop only follows
+    edges into a target.
     """
-    both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    seen = starts.select("question_id", "key").distinct()
+    both = materialize(edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    seen = materialize(starts.select("question_id", "key").distinct())
     frontier, met = seen, None
-    goal = targets.select("question_id", "key").distinct()
-    goal = goal.join(seen, ["question_id", "key"], "left_anti")
+    goal = materialize(targets.select("question_id", "key").distinct().join(seen, ["question_id", "key"], "left_anti"))
     for hop in range(1, max_hops + 1):
-        step = frontier.join(both, F.col("key") == F.col("src")).select("question_id", F.col("dst").alias("key")).distinct()
-        frontier = step.join(seen, ["question_id", "key"], "left_anti")
-        hit = frontier.join(goal, ["question_id", "key"], "left_semi").groupBy("question_id").agg(F.lit(hop).alias("hop"), F.array_sort(F.collect_set("key")).alias("reached"))
+        walked = both if hop < max_hops else both.join(goal.select(F.col("key").alias("dst")).distinct(), "dst", "left_semi")
+        step = frontier.join(walked, F.col("key") == F.col("src")).select("question_id", F.col("dst").alias("key")).distinct()
+        frontier = materialize(step.join(seen, ["question_id", "key"], "left_anti"))
+        hit = materialize(frontier.join(goal, ["question_id", "key"], "left_semi").groupBy("question_id").agg(F.lit(hop).alias("hop"), F.array_sort(F.collect_set("key")).alias("reached")))
         met = hit if met is None else met.unionByName(hit)
         if hop < max_hops:
+            frontier = frontier.join(hit.select("question_id"), "question_id", "left_anti")
             seen = seen.unionAll(frontier)
-    return met.groupBy("question_id").agg(F.min(F.struct("hop", "reached")).alias("m")).select("question_id", "m.*")
+    return met
 
 
 def multihop_claims(questions: DataFrame, keys: DataFrame, claims: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
@@ -112,18 +115,20 @@ def multihop_claims(questions: DataFrame, keys: DataFrame, claims: DataFrame, ma
     k = keys.join(asked, "question_id")
     starts, goal = k.where("pos = 0").select("question_id", "key"), k.where("pos = 1").select("question_id", "key")
     ends = claims.select(*CLAIM, F.lower(F.trim("subject_id")).alias("a"), F.lower(F.trim("object_id")).alias("b")).where("b IS NOT NULL")
-    both = ends.unionAll(ends.select(*CLAIM, F.col("b").alias("a"), F.col("a").alias("b")))
-    seen, frontier, walked, met = starts.distinct(), starts.distinct(), None, None
+    both = materialize(ends.unionAll(ends.select(*CLAIM, F.col("b").alias("a"), F.col("a").alias("b"))))
+    seen = materialize(starts.distinct())
+    frontier, walked, met = seen, None, None
     goal = goal.join(seen, ["question_id", "key"], "left_anti")
     for hop in range(1, max_hops + 1):
         step = frontier.join(both, F.col("key") == F.col("a"))
         if hop == 1:
             step = _hinted(step.join(asked, "question_id"))
-        step = step.select("question_id", F.lit(hop).alias("hop"), *CLAIM, F.col("b").alias("key"))
+        step = materialize(step.select("question_id", F.lit(hop).alias("hop"), *CLAIM, F.col("b").alias("key")))
         walked = step if walked is None else walked.unionByName(step)
         frontier = step.select("question_id", "key").distinct().join(seen, ["question_id", "key"], "left_anti")
-        hit = frontier.join(goal, ["question_id", "key"], "left_semi").select("question_id", F.lit(hop).alias("hops"))
+        hit = materialize(frontier.join(goal, ["question_id", "key"], "left_semi").select("question_id", F.lit(hop).alias("hops")).distinct())
         met = hit if met is None else met.unionByName(hit)
+        frontier = materialize(frontier.join(hit, "question_id", "left_anti"))
         seen = seen.unionAll(frontier)
     depth = met.groupBy("question_id").agg(F.min("hops").alias("hops"))
     return walked.join(depth, "question_id").where("hop <= hops").select("question_id", "hops", *CLAIM).dropDuplicates(["question_id", "claim_id"])

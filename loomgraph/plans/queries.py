@@ -63,12 +63,15 @@ def doc_chunks(spark, d):
     return cut.select("doc_id", "ordinal", words.alias("w")).select("doc_id", "ordinal", F.size("w").alias("n_words"), F.element_at("w", 1).alias("first_word"), F.element_at("w", -1).alias("last_word"))
 
 
-_MENTION_SQL = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS mention_type, unnest(regexp_extract_all(text, '{p}')) AS surface FROM documents" for k, p in T.MENTIONS)
+_MENTION_SQL = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS mention_type, unnest(regexp_extract_all(text, '{p}')) AS surface FROM texts" for k, p in T.MENTIONS)
+_TEXTS = """SELECT 'd' || CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents UNION ALL SELECT 'c' || CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR), text FROM conversations UNION ALL SELECT 'p' || CAST(page_id AS VARCHAR), html FROM pages"""
 
 
-@register(f"SELECT doc_id, mention_type, surface, count(*) AS n FROM ({_MENTION_SQL}) GROUP BY ALL")
+@register(f"WITH texts AS ({_TEXTS}) SELECT doc_id, mention_type, surface, count(*) AS n FROM ({_MENTION_SQL}) GROUP BY ALL")
 def doc_mentions(spark, d):
-    found = O.mentions(O.chunks(_docs(spark, d), "text"))
+    key = lambda p, *c: F.concat(F.lit(p), F.concat_ws(".", *[F.col(x).cast("string") for x in c])).alias("doc_id")
+    texts = _docs(spark, d).select(key("d", "doc_id"), "text").unionAll(table(spark, d, "conversations").select(key("c", "conv_id", "turn"), "text")).unionAll(table(spark, d, "pages").select(key("p", "page_id"), F.col("html").cast("string")))
+    found = O.mentions(O.chunks(texts, "text"))
     return found.groupBy("doc_id", "mention_type", "surface").agg(F.count("*").alias("n"))
 
 
@@ -149,7 +152,7 @@ sets AS (SELECT subject, predicate, CASE WHEN second IS NOT NULL AND trust - sec
 
 
 def _conflicting(spark, d) -> DataFrame:
-    return K.in_conflict(K.functional_claims(views.claims(spark, d), FUNCTIONAL))
+    return materialize(K.in_conflict(K.functional_claims(views.claims(spark, d), FUNCTIONAL)))
 
 
 def _relations(spark) -> DataFrame:
@@ -171,11 +174,11 @@ def evidence_chunk(spark, d):
     return C.evidence_chunk(spans, chunks)
 
 
-@register(f"""WITH {_CLAIMS} SELECT coalesce(CASE WHEN CAST(substr(subject_id, 6) AS INT) < 50 THEN 'person ' || CAST(CAST(substr(subject_id, 6) AS INT) % 10 AS VARCHAR) END, subject_id) AS subject, count(*) AS n FROM claims_v GROUP BY 1""")
+@register(f"""WITH {_CLAIMS} SELECT coalesce(CASE WHEN subject_id IS NOT NULL THEN 'person ' || CAST(CAST(substr(subject_id, 6) AS INT) % 10 AS VARCHAR) END, subject_id) AS subject, count(*) AS n FROM claims_v GROUP BY 1""")
 def alias_resolve(spark, d):
     claims = views.claims(spark, d)
     number = F.substring("subject_id", 6, 10).cast("int")
-    aliases = claims.where(number < 50).select(F.col("subject_id").alias("alias"), F.concat(F.lit("person "), (number % 10).cast("string")).alias("canonical_id")).distinct()
+    aliases = claims.select(F.col("subject_id").alias("alias"), F.concat(F.lit("person "), (number % 10).cast("string")).alias("canonical_id")).distinct()
     return K.resolve_subject(claims, aliases).groupBy("subject").agg(F.count("*").alias("n"))
 
 
@@ -371,13 +374,22 @@ def q_conflict(spark, d):
     return Q.conflicts(q, Q.match_keys(a), K.conflict_sets(_conflicting(spark, d))[0]).select("question_id", "subject", "predicate", "resolution_status", "margin")
 
 
-@register()
+_WALK = f"""{_QUESTIONS}, mq AS (SELECT question_id, lower(trim(entities[1])) AS s, lower(trim(entities[2])) AS g, predicate_hint AS hint FROM qv WHERE plan_class = 'MULTIHOP'),
+en AS (SELECT claim_id, predicate, lower(trim(subject_id)) AS a, lower(trim(object_id)) AS b FROM claims_v WHERE object_id IS NOT NULL UNION ALL SELECT claim_id, predicate, lower(trim(object_id)), lower(trim(subject_id)) FROM claims_v WHERE object_id IS NOT NULL),
+w1 AS (SELECT question_id, claim_id, b AS k FROM mq JOIN en ON a = s WHERE hint IS NULL OR predicate = hint), f1 AS (SELECT question_id, k FROM w1 EXCEPT SELECT question_id, s FROM mq),
+w2 AS (SELECT f.question_id, claim_id, b AS k FROM f1 f JOIN en ON a = f.k), f2 AS (SELECT question_id, k FROM w2 EXCEPT (SELECT question_id, s FROM mq UNION SELECT question_id, k FROM f1)),
+w3 AS (SELECT f.question_id, claim_id, b AS k FROM f2 f JOIN en ON a = f.k), f3 AS (SELECT question_id, k FROM w3 EXCEPT (SELECT question_id, s FROM mq UNION SELECT question_id, k FROM f1 UNION SELECT question_id, k FROM f2)),
+mt AS (SELECT f.question_id, min(h) AS hops FROM (SELECT *, 1 AS h FROM f1 UNION ALL SELECT *, 2 FROM f2 UNION ALL SELECT *, 3 FROM f3) f JOIN mq ON f.question_id = mq.question_id AND f.k = mq.g GROUP BY 1),
+mh AS (SELECT DISTINCT w.question_id, hops, claim_id FROM (SELECT *, 1 AS h FROM w1 UNION ALL SELECT *, 2 FROM w2 UNION ALL SELECT *, 3 FROM w3) w JOIN mt ON w.question_id = mt.question_id AND h <= hops)"""
+
+
+@register(f"WITH {_WALK} SELECT question_id, hops, claim_id FROM mh")
 def q_multihop_claims(spark, d):
     q, a, c = _asked(spark, d)
     return Q.multihop_claims(q, Q.match_keys(a), c).select("question_id", "hops", "claim_id")
 
 
-_HOPS = f"""ev AS ({views.EDGES_SQL}), st AS (SELECT 'customer ' || CAST(c_custkey AS VARCHAR) AS k FROM customer WHERE c_custkey % 50 = 0),
+_HOPS = f"""ev AS ({views.EDGES_SQL}), st AS (SELECT 'customer ' || CAST(c_custkey AS VARCHAR) AS k FROM customer WHERE c_custkey % 100 = 0),
 bi AS (SELECT src, dst FROM ev UNION SELECT dst, src FROM ev),
 h1 AS (SELECT DISTINCT k, dst FROM st JOIN bi ON k = src), h2 AS (SELECT DISTINCT k, b.dst FROM h1 JOIN bi b ON h1.dst = b.src), h3 AS (SELECT DISTINCT k, b.dst FROM h2 JOIN bi b ON h2.dst = b.src),
 goal AS (SELECT lower(n_name) AS g FROM nation), m AS (SELECT k, 1 AS hop, dst FROM h1 UNION ALL SELECT k, 2, dst FROM h2 UNION ALL SELECT k, 3, dst FROM h3)"""
@@ -385,7 +397,7 @@ goal AS (SELECT lower(n_name) AS g FROM nation), m AS (SELECT k, 1 AS hop, dst F
 
 @register(f"WITH {_HOPS}, f AS (SELECT k, dst, min(hop) AS hop FROM m JOIN goal ON dst = g GROUP BY 1, 2), t AS (SELECT k, min(hop) AS hop FROM f GROUP BY 1) SELECT t.k AS question_id, t.hop, list_sort(list(f.dst)) AS reached FROM t JOIN f ON t.k = f.k AND t.hop = f.hop GROUP BY 1, 2")
 def q_multihop(spark, d):
-    starts = table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("key"))
+    starts = table(spark, d, "customer").where("c_custkey % 100 = 0").select(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("key"))
     starts = starts.select(F.col("key").alias("question_id"), "key")
     goals = [F.lower(F.lit(r.n_name)) for r in table(spark, d, "nation").select("n_name").collect()]  # 25 nations, the goals of every question
     targets = starts.select("question_id", F.explode(F.array(*goals)).alias("key"))
@@ -405,18 +417,20 @@ def q_paths(spark, d):
 def _gated(spark, d) -> tuple[DataFrame, DataFrame]:
     q, a, c = _asked(spark, d)
     keys = Q.match_keys(a)
-    hits = Q.lookup(q, a, c).unionByName(Q.aggregate(q, keys, c)).unionByName(Q.temporal(q, keys, c).drop("position"))
-    sets = Q.conflicts(q, keys, K.conflict_sets(_conflicting(spark, d))[0]).groupBy("question_id").agg(F.count("*").alias("n"))
-    return Q.gate(q.where("plan_class <> 'MULTIHOP'"), a, hits, sets), hits
+    hits = Q.lookup(q, a, c).unionByName(Q.aggregate(q, keys, c)).unionByName(Q.temporal(q, keys, c).drop("position")).unionByName(Q.multihop_claims(q, keys, c).drop("hops"))
+    hits = materialize(hits)
+    sets = materialize(Q.conflicts(q, keys, K.conflict_sets(_conflicting(spark, d))[0]).groupBy("question_id").agg(F.count("*").alias("n")))
+    return materialize(Q.gate(q, a, hits, sets)), hits
 
 
-_GATE = f"""{_SETS}, qv AS ({views.QUESTIONS_SQL}), ent AS (SELECT question_id, plan_class, predicate_hint, unnest(entities) AS e FROM qv WHERE plan_class <> 'MULTIHOP'), subj AS (SELECT DISTINCT subject_id AS t FROM claims_v UNION SELECT object_id FROM claims_v WHERE object_id IS NOT NULL),
+_GATE = f"""{_SETS}, {_WALK.replace(_CLAIMS + ", ", "", 1).replace("ent AS", "ent0 AS").replace("FROM ent)", "FROM ent0)").replace("SELECT ent.*", "SELECT ent0.*").replace("anc AS", "anc0 AS")}, ent AS (SELECT question_id, plan_class, predicate_hint, unnest(entities) AS e FROM qv), subj AS (SELECT DISTINCT subject_id AS t FROM claims_v UNION SELECT object_id FROM claims_v WHERE object_id IS NOT NULL),
 anc AS (SELECT *, e IN (SELECT t FROM subj) AS known FROM ent), hit AS (SELECT DISTINCT a.question_id, c.claim_id, c.extraction_confidence, c.evidence_chunk_id, c.subject_id, c.predicate, c.object_id, c.object_literal FROM anc a JOIN claims_v c ON (a.predicate_hint IS NULL OR c.predicate = a.predicate_hint)
-  AND ((a.plan_class = 'LOOKUP' AND a.known AND c.subject_id = a.e) OR (a.plan_class = 'TEMPORAL' AND (c.subject_id = a.e OR c.object_id = a.e)) OR (a.plan_class = 'AGGREGATE' AND a.predicate_hint IS NOT NULL AND (c.subject_id = a.e OR c.object_id = a.e)))),
+  AND ((a.plan_class = 'LOOKUP' AND a.known AND c.subject_id = a.e) OR (a.plan_class = 'TEMPORAL' AND (c.subject_id = a.e OR c.object_id = a.e)) OR (a.plan_class = 'AGGREGATE' AND a.predicate_hint IS NOT NULL AND (c.subject_id = a.e OR c.object_id = a.e)))
+  UNION SELECT mh.question_id, c.claim_id, c.extraction_confidence, c.evidence_chunk_id, c.subject_id, c.predicate, c.object_id, c.object_literal FROM mh JOIN claims_v c ON mh.claim_id = c.claim_id),
 cs AS (SELECT question_id, count(*) AS n FROM anc JOIN sets s ON s.subject = anc.e AND (predicate_hint IS NULL OR predicate_hint = s.predicate) WHERE plan_class = 'CONFLICT' GROUP BY 1),
 hs AS (SELECT question_id, count(*) AS claim_count, max(extraction_confidence) AS max_trust, count(DISTINCT evidence_chunk_id) AS evidence_sources FROM hit GROUP BY 1),
 g0 AS (SELECT q.question_id, q.plan_class, (SELECT bool_or(NOT known) FROM anc WHERE anc.question_id = q.question_id) AS unresolved, coalesce(claim_count, 0) AS claim_count, coalesce(max_trust, 0) AS max_trust, coalesce(evidence_sources, 0) AS evidence_sources, coalesce(n, 0) AS conflict_count
-  FROM qv q LEFT JOIN hs ON q.question_id = hs.question_id LEFT JOIN cs ON q.question_id = cs.question_id WHERE q.plan_class <> 'MULTIHOP'),
+  FROM qv q LEFT JOIN hs ON q.question_id = hs.question_id LEFT JOIN cs ON q.question_id = cs.question_id),
 gated AS (SELECT *, CASE WHEN plan_class = 'CONFLICT' THEN conflict_count ELSE claim_count END AS path_count, CASE WHEN plan_class = 'CONFLICT' AND conflict_count > 0 THEN NULL WHEN unresolved AND claim_count = 0 THEN 'entity not found under any known alias'
   WHEN (CASE WHEN plan_class = 'CONFLICT' THEN conflict_count ELSE claim_count END) = 0 AND claim_count = 0 THEN 'entities exist but no relationship found within bound' WHEN max_trust < 0.35 AND evidence_sources < 2 THEN 'only weak, uncorroborated evidence' END AS reason FROM g0)"""
 
@@ -482,6 +496,12 @@ def bm25_topk(spark, d):
     return retrieval.bm25(queries, _docs(spark, d)).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@register(f"WITH {_BM25}, top AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc WHERE score > 0), c AS (SELECT query_id, list(t.doc_id ORDER BY rank) AS document_ids, string_agg('[' || t.doc_id || '] ' || coalesce(source, '') || chr(10) || substr(text, 1, 2000), chr(10) || chr(10) ORDER BY rank) AS context FROM top t JOIN documents d ON t.doc_id = d.doc_id WHERE rank <= 5 GROUP BY 1) SELECT item_id AS query_id, coalesce(document_ids, []) AS document_ids, coalesce(context, '') AS context, context IS NULL AS abstained FROM benchmark LEFT JOIN c ON item_id = query_id")
+def bm25_answers(spark, d):
+    queries, docs = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), _docs(spark, d)
+    return retrieval.baseline_answers(retrieval.bm25(queries, docs), queries, docs.select("doc_id", F.col("source").alias("title"), F.col("text").alias("body")))
+
+
 _EVAL = """ev AS (SELECT doc_id AS question_id, CASE WHEN doc_id % 11 = 0 THEN 'info_not_found' ELSE 'type' || CAST(doc_id % 11 AS VARCHAR) END AS question_type, quality = 1 AS correct, toxic = 1 AS abstained,
  CASE WHEN doc_id % 5 = 0 THEN NULL ELSE (doc_id % 4) / 3.0 END AS recall, CASE WHEN doc_id % 3 = 0 THEN 'MULTIHOP' ELSE 'LOOKUP' END AS plan_class FROM labels)"""
 
@@ -519,6 +539,11 @@ def eval_ablation(spark, d):
     return r.select("n", *[F.round(c, 6).alias(c) for c in ("accuracy_with", "accuracy_without", "delta", "multihop_delta")])
 
 
+@register("""WITH {ev}, f AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(question_id AS VARCHAR) || ':42'), question_id) AS r FROM ev WHERE NOT correct) SELECT question_id, CASE WHEN abstained AND question_type <> 'info_not_found' THEN 'false_abstention' WHEN NOT abstained AND question_type = 'info_not_found' THEN 'confabulation' WHEN recall < 0.5 THEN 'low_document_recall' ELSE 'wrong_answer' END AS category FROM f WHERE r <= 30""".replace("{ev}", _EVAL))
+def eval_failures(spark, d):
+    return V.failure_sample(_scored_answers(spark, d)).select("question_id", "category")
+
+
 @register(f"""WITH {_EVAL} SELECT CASE WHEN abstained AND question_type <> 'info_not_found' THEN 'false_abstention' WHEN NOT abstained AND question_type = 'info_not_found' THEN 'confabulation' WHEN recall < 0.5 THEN 'low_document_recall' ELSE 'wrong_answer' END AS category, count(*) AS n FROM ev WHERE NOT correct GROUP BY 1""")
 def eval_errors(spark, d):
     return V.error_counts(_scored_answers(spark, d))
@@ -543,12 +568,12 @@ def store_upsert(spark, d):
     return store.upsert("latest", rows, ["user_id"], "event_id").groupBy("user_id", "event_id").agg(F.count("*").alias("n"))
 
 
-@register(f"WITH {_CLAIMS} SELECT event_type_subject AS subject_id, predicate, object_id FROM (SELECT DISTINCT subject_id AS event_type_subject, predicate, object_id FROM claims_v WHERE object_id IS NOT NULL AND CAST(substr(subject_id, 6) AS INT) < 40)")
+@register(f"WITH {_CLAIMS} SELECT event_type_subject AS subject_id, predicate, object_id FROM (SELECT DISTINCT subject_id AS event_type_subject, predicate, object_id FROM claims_v WHERE object_id IS NOT NULL)")
 def store_edges(spark, d):
     from loomgraph.sources.sinks import Store
 
     c = views.claims(spark, d)
-    nodes = c.where(F.substring("subject_id", 6, 10).cast("int") < 40).select(F.col("subject_id").alias("id")).distinct()
+    nodes = c.select(F.col("subject_id").alias("id")).distinct()
     targets = c.where("object_id IS NOT NULL").select(F.col("object_id").alias("id")).distinct()
     edges = c.select(F.col("subject_id").alias("from_id"), F.col("object_id").alias("to_id"), F.col("predicate").alias("type")).where("to_id IS NOT NULL").distinct()
     out = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}").upsert_edges("edges", edges, nodes, targets)

@@ -172,3 +172,58 @@ def test_adapters_and_extraction(spark, tmp_path):
     rel = spark.createDataFrame([("OWNS", False)], "name string, literal boolean")
     got, _ = C.extract(docs, C.rule_extractor(["OWNS"]), rel)
     assert (got.first().subject_id, got.first().object_id, got.first().extraction_confidence) == ("u: ann", "apollo", 0.5)
+
+
+def test_mode_takes_the_least_of_equals(spark):
+    rows = [("k", x) for x in ("anna", "ann", "ann", "anna", "bob", None, None, None)]
+    assert R.mode(spark.createDataFrame(rows, "key string, name string"), ["key"], "name").first().name == "ann"
+
+
+@pytest.mark.parametrize(("name", "code"), [("Whittaker", "W326"), ("Chattell", "C340"), ("Tymczak", "T522"), ("Ashcraft", "A226"), ("Lee", "L000"), ("", "0000"), (None, "0000")])
+def test_parity_soundex(spark, name, code):
+    """Vectors worked out by hand: after a coded letter its code counts as the last, whatever letter is looked back at."""
+    assert one(spark, T.parity_soundex(F.col("x")), x=("string", name)) == code
+
+
+@pytest.mark.parametrize("text", ["a b c d e f", "Only three words", "", None, "x " * 40])
+def test_simhash63_against_single_bits(spark, text):
+    import hashlib
+
+    from loomgraph.operators.dedupe import simhash63
+
+    w = (text or "").lower().split()
+    grams = [" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
+    numbers = [int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") for g in grams]
+    want = sum(1 << k for k in range(63) if 2 * sum(n >> k & 1 for n in numbers) > len(numbers))
+    assert one(spark, simhash63(F.col("x")), x=("string", text)) == want
+
+
+def test_cached_answers_come_once(spark):
+    from loomgraph.operators.providers import EmptyProvider, cache_key, complete
+
+    prompts = spark.createDataFrame([(1, "a"), (2, "b")], "id long, prompt string")
+    known = prompts.where("id = 1").select(cache_key("empty", "1", F.col("prompt")).alias("key"))
+    cache = known.select("key", F.lit("two").alias("response")).unionAll(known.select("key", F.lit("one").alias("response")))
+    got = {r.id: (r.response, r.cached) for r in complete(prompts, "t", EmptyProvider(), cache).collect()}
+    assert got == {1: ("one", True), 2: ("{}", False)} and complete(prompts, "t", EmptyProvider(), cache).count() == 2
+
+
+def test_multihop_stops_at_the_first_target(spark):
+    from itertools import product
+
+    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("e", "d"), ("x", "y")]
+    near = {}
+    for p, q in edges:
+        near.setdefault(p, set()).add(q), near.setdefault(q, set()).add(p)
+    starts = [(k, k) for k in "abcdexy"]
+    got = Q.multihop(spark.createDataFrame(starts, "question_id string, key string"), spark.createDataFrame([(k, g) for k, g in product("abcdexy", "dy")], "question_id string, key string"), spark.createDataFrame(edges, "src string, dst string"))
+    want = {}
+    for k in "abcdexy":
+        seen, at = {k}, {k}
+        for hop in (1, 2, 3):
+            at = {y for x in at for y in near[x]} - seen
+            seen |= at
+            if hit := at & {"d", "y"}:
+                want[k] = (hop, sorted(hit))
+                break
+    assert {r.question_id: (r.hop, r.reached) for r in got.collect()} == want

@@ -70,7 +70,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM d WHERE len(h) >= 200)),
+c AS (SELECT doc_id, 1000 * i AS base, substr(h, 2000 * i + 1, 2198) AS s FROM (SELECT doc_id, h, unnest(range(0, (len(h) // 2 + 900) // 1000)) AS i FROM d WHERE len(h) >= 200)),
+w AS (SELECT doc_id, base + q AS p, hash(substr(s, 2 * q + 1, 200)) AS k FROM (SELECT doc_id, base, s, unnest(range(0, least(1000, len(s) // 2 - 99))) AS q FROM c)),
 f AS (SELECT k, min((doc_id, p)) AS first FROM w GROUP BY k HAVING count(*) > 1),
 r AS (SELECT w.doc_id, p FROM w JOIN f ON w.k = f.k AND (w.doc_id, p) <> f.first),
 g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM r)),

@@ -15,9 +15,10 @@ reported with all its members. All occurrences of a repeat but the first, in
 order of document and place, are removed.
 
 A gram with very many different contexts is split: all members are compared
-with the earliest one, which shows each a repeat as far as the two agree. What
-else a member repeats goes further to the left or to the right than that, so
-members are dealt anew by one byte more to either side, until groups are small.
+with the commonest bytes to the left and to the right. Strings within these are
+the same in all members that agree so far; what else a member repeats goes
+further to the left or to the right, so members are dealt anew by one byte more
+to either side, until groups are small.
 """
 
 from __future__ import annotations
@@ -313,43 +314,54 @@ def _agreement(width: int, gram: int) -> Callable[..., Column]:
     return agree
 
 
-def _by_groups(contexts: DataFrame, width: int, gram: int, crowd: int, scan: Callable[[DataFrame], DataFrame], pair: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What `scan` finds in the groups of at most `crowd` contexts, and `pair` in members of larger ones that repeat the earliest.
+def _commonest(groups: DataFrame, side: str) -> DataFrame:
+    counts = groups.groupBy("key", side).agg(F.count("*").alias("n"))
+    return counts.groupBy("key").agg(F.max_by(side, F.struct("n", side)).alias(f"common_{side}"))
 
-    A member looks for strings that begin lo to hi bytes before its anchor. Its
-    group shares p bytes to the left and q to the right; with the group's
-    earliest member it shares a and b. Strings within these are repeats, and
-    the earliest has no earlier occurrence of its own. Others begin more than
-    a bytes before the anchor (whoever shares them shares a + 1 bytes to the
-    left) or end more than b bytes after it: by these bytes the member is dealt
-    to at most two groups, with ranges that don't overlap. Members alone with
-    theirs are done. Nothing of a crowd's size ever meets in a task.
+
+def _by_groups(contexts: DataFrame, width: int, gram: int, crowd: int, scan: Callable[[DataFrame], DataFrame], hit: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `scan` finds in the groups of at most `crowd` contexts, and `hit` in members of larger ones.
+
+    A member looks for strings that begin lo to hi bytes before its anchor; its
+    group shares p bytes to the left and q to the right. With the group's
+    commonest bytes it agrees in a to the left and b to the right. A string
+    within these is known by where it begins alone, so its earliest member is
+    the least of all that agree so far: a table of one row a string's beginning.
+    Other strings begin more than a bytes before the anchor (whoever shares
+    them shares a + 1 bytes to the left) or end more than b bytes after it: by
+    these bytes the member is dealt to at most two groups, with ranges that
+    don't overlap. Members alone with theirs are done. Nothing of a crowd's size
+    ever meets in a task.
     """
     columns = [*(x.split()[0] for x in _CLASS.split(", ")), "left", "right"]
-    state = ["key", "p", "q", "lo", "hi"]
+    state = ["key", "p", "q", "lo", "hi", "kinds"]
+    agree, who = _agreement(width, gram), F.struct("doc", "mark", "place", "c1")
+    p, q, lo, hi, a, b = (F.col(k) for k in ("p", "q", "lo", "hi", "a", "b"))
     found = [materialize(scan(_sorted(contexts.where(F.col("kinds") <= crowd).select(F.col("gram").alias("key"), *columns))))]
     starts = {"key": F.col("gram"), "p": F.lit(0), "q": F.lit(gram), "lo": F.greatest(F.lit(0), width - F.octet_length("right")), "hi": F.least(F.lit(width - gram), F.octet_length("left"))}
-    dealt = contexts.where(F.col("kinds") > crowd).withColumns(starts).select(*columns, *state)
-    agree, scratch = _agreement(width, gram), None
-    while dealt.limit(1).count():
-        sized = dealt.groupBy("key").agg(F.count("*").alias("kinds"), F.min(F.struct("doc", "mark", "place", "c1", "left", "right")).alias("f")).where("kinds > 1")
-        joined = dealt.join(sized.withColumn("f", F.when(F.col("kinds") > crowd, F.col("f"))), "key")
-        groups = materialize(joined.withColumn("s", F.when(F.col("f").isNotNull(), agree("left", "f.left", "right", "f.right"))).withColumn("f", F.struct("f.doc", "f.mark", "f.place", "f.c1")))
-        others = groups.where((F.col("kinds") > crowd) & (F.struct("doc", "mark", "place") != F.struct("f.doc", "f.mark", "f.place"))).select("*", "s.a", "s.b").drop("s")
-        small = scan(_sorted(groups.where(F.col("kinds") <= crowd).select("key", *columns)))
-        found.append(materialize(small.unionByName(pair(others.where(F.col("a") + F.col("b") >= width)))))
+    large, scratch = contexts.where(F.col("kinds") > crowd).withColumns(starts).select(*columns, *state), []
+    while large.limit(1).count():
+        common = materialize(_commonest(large, "left").join(_commonest(large, "right"), "key"))
+        compared = large.join(common, "key").withColumn("s", agree("left", "common_left", "right", "common_right")).select(*columns, *state, "s.a", "s.b")
+        compared = materialize(compared)
+        inside = compared.where(a + b >= width)
+        ends = inside.groupBy("key", "a", "b").agg(F.min(who).alias("f")).groupBy("key").agg(F.collect_list(F.struct("a", "b", "f")).alias("ends"))  # a list of some thousand extents at most
+        first = F.transform(F.sequence(F.lit(0), F.lit(width - gram)), lambda j: F.array_min(F.transform(F.filter("ends", lambda e: (e["a"] >= j) & (width - e["b"] <= j)), lambda e: e["f"])))
+        known = inside.join(materialize(ends.select("key", "ends", first.alias("first"))), "key")
+        later = F.filter(F.sequence(width - b, a), lambda j: F.get("first", j) != who)
+        found.append(materialize(hit(known.withColumn("l", F.array_max(later)).withColumn("r", width - F.array_min(later)).where("l IS NOT NULL"))))
+
         step = lambda *values: F.struct(*[v.alias(k) for k, v in zip(("side", "p", "q", "lo", "hi"), values, strict=True)])
-        p, q, lo, hi, one, two = (F.col(k) for k in ("p", "q", "lo", "hi", "a", "b"))
-        options = F.array(step(F.lit(0), one + 1, q, F.greatest(lo, one + 1), hi), step(F.lit(1), p, two + 1, lo, F.least(hi, width - 1 - two, one)))
+        options = F.array(step(F.lit(0), a + 1, q, F.greatest(lo, a + 1), hi), step(F.lit(1), p, b + 1, lo, F.least(hi, width - 1 - b, a)))
         ranges = F.filter(options, lambda o: (o["lo"] <= o["hi"]) & (o["p"] <= F.octet_length("left")) & (o["q"] <= F.octet_length("right")))
-        split = others.select(*columns, F.col("key").alias("of"), F.explode(ranges).alias("o")).select(*columns, "of", "o.*")
-        shared = F.xxhash64("of", "side", "p", "q", F.substring("left", F.lit(1), F.col("p")), F.substring("right", F.lit(1), F.col("q")))
-        dealt = split.withColumn("key", shared).select(*columns, *state)
-        if scratch is not None:
-            discard(scratch)
-        scratch = groups
-    if scratch is not None:
-        discard(scratch)
+        split = compared.select(*columns, F.col("key").alias("of"), F.explode(ranges).alias("o")).select(*columns, "of", "o.*")
+        shared = F.xxhash64("of", "side", "p", "q", F.substring("left", F.lit(1), p), F.substring("right", F.lit(1), q))
+        dealt = split.withColumn("key", shared)
+        groups = materialize(dealt.join(dealt.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "key").select(*columns, *state))
+        found.append(materialize(scan(_sorted(groups.where(F.col("kinds") <= crowd).select("key", *columns)))))
+        discard(compared, common, *scratch)
+        large, scratch = groups.where(F.col("kinds") > crowd), [groups]
+    discard(*scratch)
     return reduce(DataFrame.unionByName, found)
 
 
@@ -364,18 +376,20 @@ def repeat_groups(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd:
     first marks the earliest. A repeat is reported for each anchor in it, as
     far as the anchor's context of `width` bytes to either side goes, so a long
     one comes in overlapping parts. In a crowd of more than `crowd` contexts a
-    repeat is what members have in common with the earliest, and names those
-    that share just as much with it. doc and mark are those of repeated_spans.
+    repeat is what members have in common with the crowd's commonest bytes, and
+    names those that agree with them just as far, and the earliest of all that
+    hold it. doc and mark are those of repeated_spans.
     """
     text, rows, classes = _classes(docs, _mark(docs, id_col), width, gram, id_col)
     contexts = materialize(_contexts(text, classes, width, gram))
 
-    def pair(others: DataFrame) -> DataFrame:
-        ends = F.array(F.struct("c1", "doc", "mark", "place", F.lit(False).alias("first")), F.struct("f.c1", "f.doc", "f.mark", "f.place", F.lit(True).alias("first")))
-        both = others.select(F.xxhash64("f.c1", "a", "b").alias("repeat_id"), F.col("a").alias("l"), F.col("b").alias("r"), "gram", F.explode(ends).alias("m"))
-        return both.select("repeat_id", "l", "r", "gram", "m.*")
+    def hit(known: DataFrame) -> DataFrame:
+        first = F.array_min(F.transform(F.filter("ends", lambda e: (e["a"] >= F.col("a")) & (e["b"] >= F.col("b"))), lambda e: e["f"]))
+        others = known.withColumn("f", first).where(F.struct("doc", "mark", "place", "c1") != F.col("f"))
+        both = F.array(F.struct("c1", "doc", "mark", "place", F.lit(False).alias("first")), F.struct("f.c1", "f.doc", "f.mark", "f.place", F.lit(True).alias("first")))
+        return others.select(F.xxhash64("key", "a", "b").alias("repeat_id"), F.col("a").alias("l"), F.col("b").alias("r"), "gram", F.explode(both).alias("m")).select("repeat_id", "l", "r", "gram", "m.*")
 
-    found = _by_groups(contexts, width, gram, crowd, lambda g: g.mapInArrow(T.tidy(lambda b: _scan(b, width, gram, True)), _GROUPS), pair).distinct()
+    found = _by_groups(contexts, width, gram, crowd, lambda g: g.mapInArrow(T.tidy(lambda b: _scan(b, width, gram, True)), _GROUPS), hit).distinct()
     alone = classes.where("n > 1").select(
         F.col("c1").alias("repeat_id"), F.least(_position(), F.lit(width - gram)).cast("int").alias("l"), _ahead().cast("int").alias("r"), "gram", "c1", "doc", "mark", "place", F.lit(True).alias("first")
     )
@@ -398,7 +412,7 @@ def _spans(docs: DataFrame, mark: Column, width: int, gram: int, crowd: int, id_
     text, rows, classes = _classes(docs, mark, width, gram, id_col)
     contexts = materialize(_contexts(text, classes, width, gram))
 
-    extents = _by_groups(contexts, width, gram, crowd, lambda g: g.mapInArrow(T.tidy(lambda b: _scan(b, width, gram)), _EXTENTS), lambda others: others.select("gram", "c1", F.col("a").alias("l"), F.col("b").alias("r")))
+    extents = _by_groups(contexts, width, gram, crowd, lambda g: g.mapInArrow(T.tidy(lambda b: _scan(b, width, gram)), _EXTENTS), lambda known: known.select("gram", "c1", "l", "r"))
     discard(contexts)
     most = extents.groupBy("gram", "c1").agg(F.max("l").alias("l"), F.max("r").alias("r"))
     # written, so that the next join has two plain sides: only then is a crowded class split over tasks

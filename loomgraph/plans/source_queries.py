@@ -310,3 +310,74 @@ def q_cited(spark, d):
     hits = P._gated(spark, d)[1]
     cited = hits.groupBy("question_id").agg(F.min("claim_id").alias("claim_id"), F.count_distinct("claim_id").alias("n")).where("n > 1")
     return Q.citations(hits, P._chunk_table(spark, d), cited).select("question_id", "claim_id", "doc_id").distinct()
+
+
+# ---- persons and invariants of whole components, which SQL can follow too ------------------------------------------
+
+_WHOLE = f"""{P._SCORES}, link AS (SELECT i AS a, j AS b FROM scored WHERE score >= 0.62 AND NOT hard_negative UNION ALL SELECT j, i FROM scored WHERE score >= 0.62 AND NOT hard_negative),
+reach(a, b) AS (SELECT rid, rid FROM feats UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a), cl AS (SELECT a AS rid, min(b) AS cluster_id FROM reach GROUP BY 1), fc AS (SELECT f.*, cluster_id, trim(raw) AS w FROM feats f JOIN cl ON f.rid = cl.rid)"""
+
+
+def _whole(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    from loomgraph.operators.components import connected_components
+
+    feats, scored = P._scored(spark, d)
+    scored = materialize(scored)
+    found = connected_components(scored.where((F.col("score") >= R.LINK) & ~F.col("hard_negative")), "i", "j").withColumnRenamed("id", "rid")
+    return feats, scored, materialize(feats.select("rid").join(found, "rid", "left").select("rid", F.coalesce("component_id", "rid").alias("cluster_id")))
+
+
+def _mode_sql(value: str, name: str, where: str = "true") -> str:
+    return f"{name} AS (SELECT cluster_id, min_by(v, (-n, v)) AS {name} FROM (SELECT cluster_id, {value} AS v, count(*) AS n FROM fc WHERE {value} IS NOT NULL AND {where} GROUP BY 1, 2) GROUP BY 1)"
+
+
+@register(f"""WITH RECURSIVE {_WHOLE}, {_mode_sql('w', 'pure', 'email IS NULL AND handle IS NULL')}, {_mode_sql('w', 'anyraw')}, {_mode_sql('email', 'mail')}
+SELECT 'Person:' || substr(md5(CAST(f.cluster_id AS VARCHAR)), 1, 24) AS canonical_id, f.cluster_id, coalesce(any_value(pure), any_value(anyraw)) AS name, any_value(mail) AS primary_email, count(DISTINCT lower(w)) AS alias_count, list_sort(list(DISTINCT source_system)) AS source_systems, count(*) AS cluster_size
+FROM fc f LEFT JOIN pure ON f.cluster_id = pure.cluster_id LEFT JOIN anyraw ON f.cluster_id = anyraw.cluster_id LEFT JOIN mail ON f.cluster_id = mail.cluster_id GROUP BY f.cluster_id""")
+def er_component_persons(spark, d):
+    feats, _, found = _whole(spark, d)
+    return R.canonicalize(feats, found)[0]
+
+
+@register(f"""WITH RECURSIVE {_WHOLE} SELECT (SELECT count(*) FROM scored s JOIN cl a ON s.i = a.rid JOIN cl b ON s.j = b.rid WHERE hard_negative AND a.cluster_id = b.cluster_id) AS cosentence_pairs,
+ (SELECT count(*) FROM (SELECT cluster_id FROM fc GROUP BY 1 HAVING count(DISTINCT email) > 1)) AS email_conflicts""")
+def er_component_invariants(spark, d):
+    feats, scored, found = _whole(spark, d)
+    return R.invariants(scored, found, feats)
+
+
+@register(f"WITH RECURSIVE {_WHOLE} SELECT alias, 'Person:' || substr(md5(CAST(c AS VARCHAR)), 1, 24) AS canonical_id FROM (SELECT lower(w) AS alias, max(cluster_id) AS c FROM fc GROUP BY 1)")
+def er_alias_map(spark, d):
+    feats, _, found = _whole(spark, d)
+    return R.canonicalize(feats, found)[1]
+
+
+@register(f"WITH RECURSIVE {_WHOLE} SELECT count(*) AS n_clusters, max(n) AS largest, count(*) FILTER (n = 1) AS singletons FROM (SELECT cluster_id, count(*) AS n FROM cl GROUP BY 1)")
+def er_cluster_stats(spark, d):
+    return R.cluster_stats(_whole(spark, d)[2])
+
+
+@register(f"""WITH c AS ({_CORPUS_SQL}) SELECT 'documents' AS what, count(*) AS n FROM c UNION ALL SELECT 'chunks', sum((len(regexp_extract_all(body, '\\S+')) + 499) // 500) FROM c UNION ALL SELECT 'HAS_CHUNK', sum((len(regexp_extract_all(body, '\\S+')) + 499) // 500) FROM c
+UNION ALL SELECT what, sum({' + '.join(f"len(regexp_extract_all(body, '{p}'))" for _, p in T.MENTIONS)}) FROM c, (VALUES ('mentions'), ('MENTIONS')) v(what) GROUP BY 1""")
+def store_structure(spark, d):
+    """Documents, chunks and mentions written twice, counted once."""
+    from loomgraph.sources.sinks import Store, write_structure
+
+    store, docs = Store(spark, _folder(spark, "store")), materialize(_corpus(spark, d))
+    chunks = materialize(O.chunks(docs))
+    found = materialize(O.mentions(chunks))
+    for _ in range(2):
+        write_structure(store, docs, chunks, found)
+    out = store.read("structure").groupBy(F.col("type").alias("what")).agg(F.count("*").alias("n"))
+    for name in ("documents", "chunks", "mentions"):
+        out = out.unionAll(store.read(name).agg(F.lit(name).alias("what"), F.count("*").alias("n")))
+    return out
+
+
+@register("SELECT * FROM (VALUES ('Engineer', 'Person', 'SUBCLASS_OF')) t(from_id, to_id, type) UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{n}', 'relation', 'NAME')" for n, _, _ in P.RELATIONS) + ") r(from_id, to_id, type)")
+def store_ontology(spark, d):
+    from loomgraph.sources.sinks import Store, write_ontology
+
+    store = Store(spark, _folder(spark, "tbox-store"))
+    write_ontology(store, *_tbox(spark))
+    return store.read("class_edges").select("from_id", "to_id", "type").unionAll(store.read("relations").select(F.col("name"), F.lit("relation"), F.lit("NAME")))

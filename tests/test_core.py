@@ -227,3 +227,20 @@ def test_multihop_stops_at_the_first_target(spark):
                 want[k] = (hop, sorted(hit))
                 break
     assert {r.question_id: (r.hop, r.reached) for r in got.collect()} == want
+
+
+def test_store_merges_deltas(spark, tmp_path):
+    from loomgraph.sources import sinks
+
+    store, want = sinks.Store(spark, str(tmp_path)), {}
+    for k in range(2 * sinks.DELTAS + 3):
+        rows = [(i, k, f"v{k}") for i in (0, k, k % 5)]
+        store.upsert("t", spark.createDataFrame(rows, "id long, seq long, v string"), ["id"], "seq")
+        want |= {i: f"v{k}" for i, _, _ in rows}
+        assert len(store._parts("t")) <= sinks.DELTAS
+    store.upsert("t", spark.createDataFrame([(0, 1, "old")], "id long, seq long, v string"), ["id"], "seq")  # an older row changes nothing
+    assert {r.id: r.v for r in store.read("t").collect()} == want
+    assert store.read("none") is None and store.pending("t", spark.range(40), "id").count() == 40 - len(want)
+    store.append("lines", spark.range(3))
+    assert spark.read.json(f"{tmp_path}/lines").count() == 3
+    assert '"total": 3' in sinks.report(spark.range(3), 2)

@@ -20,11 +20,14 @@ from pyspark.sql import DataFrame, functions as F
 from loomgraph.operators.components import connected_components
 from loomgraph.runtime import materialize
 
-#: Distinct vectors of a block; with more than MAX_BLOCKS * BLOCK vectors blocks grow instead of their number.
-BLOCK, MAX_BLOCKS = 4096, 2048
+#: Distinct vectors of a block, about.
+BLOCK = 4096
 
-#: Vectors that the rotation and the block bounds are fitted on at most; neither changes the result.
-FIT = 8192
+#: Vectors that the rotation is fitted on at most, and keys a block that the block bounds are; neither changes the result.
+FIT, KEYS = 8192, 8
+
+#: Least width of the cells by which block boxes find each other.
+CELL = 0.05
 
 #: Leading principal dimensions: of the grid, and of bounding boxes.
 GRID, BOX = 8, 24
@@ -180,8 +183,8 @@ def _joined(distinct: DataFrame, size: int, cosine: float) -> DataFrame | None:
     total = distinct.count()
     if total < 2:
         return None
-    blocks = max(1, min(MAX_BLOCKS, -(-total // BLOCK)))
-    fit = distinct.orderBy(F.xxhash64("_p", F.lit(3)), "_q").limit(max(FIT, 8 * blocks)).select("x").toArrow()
+    blocks = -(-total // BLOCK)
+    fit = distinct.orderBy(F.xxhash64("_p", F.lit(3)), "_q").limit(FIT).select("x").toArrow()
     sample = _unit(_matrix(fit.column("x")))
     _, rotation = np.linalg.eigh(np.cov(sample.T) if size > 1 and len(sample) > 1 else np.eye(size))
     rotation = np.ascontiguousarray(rotation[:, ::-1])
@@ -202,8 +205,20 @@ def _joined(distinct: DataFrame, size: int, cosine: float) -> DataFrame | None:
         key["cell"], key["x"] = ego_key(unit), unit @ rotation[:, 0]
         return key
 
-    keys = np.sort(order_of(sample))
-    bounds = keys[(np.arange(1, blocks) * len(keys)) // blocks]
+    if KEYS * blocks <= len(sample):
+        keys = np.sort(order_of(sample))
+    else:  # some keys of every block, by a hash of the vector: sixteen bytes each on the driver
+        @F.arrow_udf("struct<cell: long, x: double>")
+        def key_of(x: pa.Array) -> pa.Array:
+            key = order_of(_unit(_matrix(x)))
+            return pa.StructArray.from_arrays([pa.array(key["cell"].copy()), pa.array(key["x"].copy())], ["cell", "x"])
+
+        some = F.pmod(F.xxhash64("_q", F.lit(5)), F.lit(1 << 30)) < min(1 << 30, (KEYS * blocks << 30) // total + 1)
+        found = distinct.where(some).select(key_of(F.col("x")).alias("k")).select("k.*").toArrow()
+        keys = np.zeros(found.num_rows, [("cell", np.int64), ("x", np.float64)])
+        keys["cell"], keys["x"] = found.column("cell").to_numpy(), found.column("x").to_numpy()
+        keys.sort()
+    bounds = keys[(np.arange(1, blocks) * len(keys)) // blocks] if len(keys) else keys
 
     @F.arrow_udf("int")
     def block_of(x: pa.Array) -> pa.Array:
@@ -217,34 +232,27 @@ def _joined(distinct: DataFrame, size: int, cosine: float) -> DataFrame | None:
     placed = materialize(distinct.withColumn("block", block_of(F.col("x"))))
     m = min(BOX, size)
     sides = placed.select("block", box_of(F.col("x")).alias("b")).groupBy("block").agg(
-        *[F.min(F.col("b")[k]).alias(f"lo{k}") for k in range(m)], *[F.max(F.col("b")[k]).alias(f"hi{k}") for k in range(m)]
+        F.array(*[F.min(F.col("b")[k]) for k in range(m)]).alias("low"), F.array(*[F.max(F.col("b")[k]) for k in range(m)]).alias("high")
     )
-    box = {r["block"]: np.array(r[1:]) for r in sides.collect()}  # at most MAX_BLOCKS rows
-    ids = sorted(box)
-    radius2 = (2 - 2 * cosine) * (1 + 1e-9) + 1e-12
-    low, high = np.array([box[i][:m] for i in ids]), np.array([box[i][m:] for i in ids])
-    partners: dict[int, list[int]] = {i: [] for i in ids}
-    for k, i in enumerate(ids):
-        gap = np.maximum(0, np.maximum(low[k] - high[k:], low[k:] - high[k]))
-        for j in np.flatnonzero((gap * gap).sum(1) <= radius2).tolist():
-            partners[i].append(i * MAX_BLOCKS + ids[k + j])
-            if j:
-                partners[ids[k + j]].append(i * MAX_BLOCKS + ids[k + j])
-    lists = [partners.get(i, []) for i in range(blocks)]
-
-    @F.arrow_udf("array<int>")
-    def tiles_of(block: pa.Array) -> pa.Array:
-        return pa.array([lists[i] for i in block.to_pylist()], pa.list_(pa.int32()))
+    sides = materialize(sides)
+    # boxes that come within the radius share a cell of the leading dimension, where one of them is widened by it
+    cell = max(width, CELL)
+    reach = sides.select("block", "low", "high", F.explode(F.sequence(F.floor((F.col("low")[0] - width) / cell), F.floor((F.col("high")[0] + width) / cell))).alias("cell"))
+    home = sides.select(F.col("block").alias("other"), F.col("low").alias("l"), F.col("high").alias("h"), F.explode(F.sequence(F.floor(F.col("low")[0] / cell), F.floor(F.col("high")[0] / cell))).alias("cell"))
+    gaps = F.transform(F.arrays_zip("low", "high", "l", "h"), lambda d: F.greatest(F.lit(0.0), d["low"] - d["h"], d["l"] - d["high"]))
+    apart = F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g * g)
+    near = reach.join(home, "cell").where((F.col("block") <= F.col("other")) & (apart <= (2 - 2 * cosine) * (1 + 1e-9) + 1e-12)).select("block", "other").distinct()
+    tiles = materialize(near.select(F.col("block").alias("a"), F.col("other").alias("b"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block")))
 
     def join_tile(table: pa.Table) -> pa.Table:
-        tile = table.column("tile")[0].as_py()
+        first, second = table.column("a")[0].as_py(), table.column("b")[0].as_py()
         block = np.asarray(table.column("block"))
         unit = _unit(_matrix(table.column("x")))
         at = unit @ rotation[:, :BOX]
-        order = np.lexsort((at[:, 0], ego_key(unit), block != tile // MAX_BLOCKS))
+        order = np.lexsort((at[:, 0], ego_key(unit), block != first))
         unit, at, many = unit[order], at[order], np.asarray(table.column("many"))[order]
-        cut = int((block == tile // MAX_BLOCKS).sum())
-        own = tile // MAX_BLOCKS == tile % MAX_BLOCKS
+        cut = int((block == first).sum())
+        own = first == second
         la, lb, edges = join_sequences(unit[:cut], None if own else unit[cut:], many[:cut], many[cut:], at[:cut], at[cut:], cosine)
         links = la if own else np.concatenate([la, lb])
         root = _roots(len(unit), edges)
@@ -253,5 +261,4 @@ def _joined(distinct: DataFrame, size: int, cosine: float) -> DataFrame | None:
         take = pa.array(order[hit])
         return pa.table({"_p": table.column("_p").take(take), "_q": table.column("_q").take(take), "rep": rep[hit], "root": rep[root[hit]], "links": links[hit]})
 
-    spread = placed.withColumn("tile", F.explode(tiles_of(F.col("block"))))
-    return spread.groupBy("tile").applyInArrow(join_tile, "_p long, _q long, rep long, root long, links long")
+    return placed.join(tiles, "block").groupBy("a", "b").applyInArrow(join_tile, "_p long, _q long, rep long, root long, links long")

@@ -308,6 +308,22 @@ def test_cosine_links(spark):
     assert ego_join.cosine_links(df.where("false")).count() == 0
 
 
+def test_cosine_links_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ego_join, "BLOCK", 16)
+    monkeypatch.setattr(ego_join, "FIT", 40)
+    r = np.random.default_rng(15)
+    x = np.concatenate([c + 0.05 * r.normal(size=(10, 4)) for c in r.normal(size=(40, 4))]).astype(np.float32)
+    got = {v.vec_id: v for v in ego_join.cosine_links(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    y = x.astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = y @ y.T >= 0.95
+    assert [got[k].n_links for k in range(len(x))] == (near.sum(1) - 1).tolist()
+    root = np.arange(len(x))
+    for _ in root:
+        root = np.array([root[np.flatnonzero(near[k])].min() for k in range(len(x))])
+    assert [got[k].component_id for k in range(len(x))] == root.tolist()
+
+
 def test_tiles_skip_and_recurse(monkeypatch, spark):
     monkeypatch.setattr(ego_join, "LEAF", 8)
     r = np.random.default_rng(6)

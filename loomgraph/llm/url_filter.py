@@ -1,8 +1,8 @@
 """URL filter by host-suffix and path-prefix expressions and hash-prefix lookup.
 
 Every URL is expanded into the expressions a rule could have: each suffix of
-its host on a label boundary, joined to each prefix of its path whose length
-some rule has. Expressions meet the rules in an equi-join on a short hash
+its host of as many labels as some rule has, joined to each prefix of its path
+whose length some rule has. Expressions meet the rules in an equi-join on a short hash
 prefix; the full digest and the text of the expression then confirm the match.
 DataFrame functions only.
 """
@@ -46,8 +46,8 @@ def url_filter(
     Null, empty and malformed URLs have an empty host and path and get the
     default. Repeated rows are judged alike and all kept. An input column
     named host, path, rule or verdict is replaced. No rule: all default. The
-    work per URL depends on its own labels and on the distinct rule path
-    lengths, not on the number of rules; each distinct (host, path head) is
+    work per URL depends on the distinct numbers of labels and path lengths of
+    rules, not on the number of rules or of the URL's own labels; each distinct (host, path head) is
     judged once, so a host with a third of all pages is no hot group.
     """
     spark: SparkSession = pages.sparkSession
@@ -70,7 +70,8 @@ def url_filter(
 
     keys = rows.select("host", "_head").distinct()
     labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    counts = sorted({h.count(".") + 1 for _, h, _ in rules}) or [1]
+    hosts = F.array_compact(F.array(*[F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in counts]))
     heads = F.array(*[F.when(F.length("_head") >= n, F.substring("_head", 1, n)) for n in lengths])
     expanded = (
         keys.where("host <> ''")

@@ -143,6 +143,8 @@ def test_urls(spark):
     got = [tuple(r) for r in url_filter.url_filter(spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(urls * 2)], "page_id int, url string, host string, verdict string"), URL_RULES).orderBy("page_id").select("rule", "verdict").collect()]
     assert got[:12] == got[12:]
     assert got[:12] == [("example.org/es/", "block"), ("example.org/en/1", "block"), ("org/", "allow"), ("com/de/", "block"), ("com/fr/", "allow"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"), ("org/", "allow"), (None, "allow")]
+    many = spark.createDataFrame([(1, "http://" + "a." * 50_000 + "example.org/es/x"), (2, "http://" + "." * 50_000 + "com/de/"), (3, "http://org./")], "page_id int, url string")
+    assert [r.rule for r in url_filter.url_filter(many, URL_RULES).orderBy("page_id").collect()] == ["example.org/es/", "com/de/", None]
     pages = spark.createDataFrame([], "page_id int, url string")
     assert url_filter.url_filter(pages, URL_RULES).count() == 0
     assert url_filter.url_filter(spark.createDataFrame([(1, "http://a/b")], "page_id int, url string"), []).first().verdict == "allow"

@@ -25,19 +25,43 @@ MENTIONS = [
 HONORIFICS = ["mr", "mrs", "ms", "dr", "prof", "sir", "madam"]
 DOMAIN_ENDINGS = ["com", "org", "net", "io", "ai", "co", "edu", "gov", "dev"]
 NICKNAMES = [
-    "robert bob rob bobby", "william bill will billy", "richard rick dick rich", "michael mike mikey",
-    "elizabeth liz beth eliza betty", "katherine kate katie kathy catherine", "jennifer jen jenny", "christopher chris",
-    "matthew matt", "andrew andy drew", "daniel dan danny", "joseph joe joey", "jonathan jon johnny", "alexander alex",
-    "nicholas nick", "benjamin ben benny", "samuel sam sammy", "thomas tom tommy", "anthony tony",
-    "patricia pat patty tricia", "margaret meg maggie peggy", "stephanie steph", "jacob jake", "nathaniel nate",
-    "timothy tim", "gregory greg", "edward ed eddie", "charles charlie chuck", "david dave", "james jim jimmy",
+    ("robert", "bob", "rob", "bobby"),
+    ("william", "bill", "will", "billy"),
+    ("richard", "rick", "dick", "rich"),
+    ("michael", "mike", "mikey"),
+    ("elizabeth", "liz", "beth", "eliza", "betty"),
+    ("katherine", "kate", "katie", "kathy", "catherine"),
+    ("jennifer", "jen", "jenny"),
+    ("christopher", "chris"),
+    ("matthew", "matt"),
+    ("andrew", "andy", "drew"),
+    ("daniel", "dan", "danny"),
+    ("joseph", "joe", "joey"),
+    ("jonathan", "jon", "johnny"),
+    ("alexander", "alex"),
+    ("nicholas", "nick"),
+    ("benjamin", "ben", "benny"),
+    ("samuel", "sam", "sammy"),
+    ("thomas", "tom", "tommy"),
+    ("anthony", "tony"),
+    ("patricia", "pat", "patty", "tricia"),
+    ("margaret", "meg", "maggie", "peggy"),
+    ("stephanie", "steph"),
+    ("jacob", "jake"),
+    ("nathaniel", "nate"),
+    ("timothy", "tim"),
+    ("gregory", "greg"),
+    ("edward", "ed", "eddie"),
+    ("charles", "charlie", "chuck"),
+    ("david", "dave"),
+    ("james", "jim", "jimmy"),
 ]
 
 EMAIL = r"^[A-Za-z0-9_.+\-]+@[A-Za-z0-9\-]+\.[A-Za-z0-9\-.]+$"
 HANDLE = r"^@?[A-Za-z0-9_.\-]+$"
 
 #: Longest name of each group, then the last by code point.
-NICKNAME_OF = {n: max(g.split(), key=lambda x: (len(x), x)) for g in NICKNAMES for n in g.split()}
+NICKNAME_OF = {n: max(g, key=lambda x: (len(x), x)) for g in NICKNAMES for n in g}
 
 
 def let(value: Column, body) -> Column:

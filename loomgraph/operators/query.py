@@ -161,7 +161,7 @@ def near_misses(found: DataFrame, persons: DataFrame) -> DataFrame:
 
 
 def reason(unresolved: Column, claim_count: Column, path_count: Column, max_trust: Column, sources: Column) -> Column:
-    """Why to abstain; null where to answer."""
+    """Why to abstain; null where to answer. The three texts are fixed values."""
     return (
         F.when(unresolved & (claim_count == 0), "entity not found under any known alias")
         .when((path_count == 0) & (claim_count == 0), "entities exist but no relationship found within bound")

@@ -381,3 +381,14 @@ def store_ontology(spark, d):
     store = Store(spark, _folder(spark, "tbox-store"))
     write_ontology(store, *_tbox(spark))
     return store.read("class_edges").select("from_id", "to_id", "type").unionAll(store.read("relations").select(F.col("name"), F.lit("relation"), F.lit("NAME")))
+
+
+@register("""WITH t AS (SELECT source, least(n, CAST(round_even(n / sum(n) OVER () * 137, 0) AS BIGINT)) AS target FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)), h AS (SELECT source, count(*) AS had FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark) GROUP BY 1),
+r AS (SELECT d.doc_id, d.source AS source_system, row_number() OVER (PARTITION BY d.source ORDER BY doc_id) AS r, target - coalesce(had, 0) AS room FROM documents d JOIN t ON d.source = t.source LEFT JOIN h ON d.source = h.source WHERE doc_id NOT IN (SELECT item_id FROM benchmark)) SELECT doc_id, source_system FROM r WHERE r <= room""")
+def ingest_targets(spark, d):
+    from loomgraph.operators.sampling import stratified_targets
+    from loomgraph.streaming.ingest import up_to_targets
+
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("source_system"))
+    done = docs.join(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi")
+    return up_to_targets(docs, done, stratified_targets(docs, "source_system", 137))

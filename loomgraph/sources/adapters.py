@@ -24,6 +24,7 @@ class Adapter:
     unix: bool = False
 
 
+#: Field names, folders and uri patterns of the sources' records (fixed values).
 ADAPTERS = {
     "confluence": Adapter("created_at", "author", "space", or_field="original_location"),
     "fireflies": Adapter("recorded_at", "redwood_owner", "customer_company", uri="fireflies://{meeting_id}"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loomgraph.sources.sinks import Store
 
@@ -26,12 +26,25 @@ def ingest(
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def ingest_sources(jobs: dict[str, Callable[[], None]]) -> dict[str, str]:
-    """Run each source's ingest; a source that fails is reported and doesn't stop the others."""
+def ingest_sources(jobs: dict[str, Callable[[], None]], retries: int = 2) -> dict[str, str]:
+    """Run each source's ingest, again up to `retries` times where it fails; one that still fails is reported and doesn't stop the others."""
     failed = {}
     for source, job in jobs.items():
-        try:
-            job()
-        except Exception as e:  # noqa: BLE001
-            failed[source] = f"{type(e).__name__}: {e}"
+        for attempt in range(retries + 1):
+            try:
+                job()
+                break
+            except Exception as e:  # noqa: BLE001
+                if attempt == retries:
+                    failed[source] = f"{type(e).__name__}: {e}"
     return failed
+
+
+def up_to_targets(documents: DataFrame, done: DataFrame, targets: DataFrame, source: str = "source_system", key: str = "doc_id") -> DataFrame:
+    """Documents of each source still to be taken until it has its target (source, target), those of least key first; `done` (source, key) are taken already."""
+    had = done.groupBy(source).agg(F.count("*").alias("_had"))
+    room = targets.join(had, source, "left").select(source, (F.col("target") - F.coalesce("_had", F.lit(0))).alias("_room")).where("_room > 0")
+    rest = documents.join(done.select(key), key, "left_anti").join(room, source)
+    # the rank's limit is taken in every task before rows of a source meet
+    rank = F.row_number().over(Window.partitionBy(source).orderBy(key))
+    return rest.withColumn("_r", rank).where("_r <= _room").drop("_r", "_room")

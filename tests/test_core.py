@@ -244,3 +244,20 @@ def test_store_merges_deltas(spark, tmp_path):
     store.append("lines", spark.range(3))
     assert spark.read.json(f"{tmp_path}/lines").count() == 3
     assert '"total": 3' in sinks.report(spark.range(3), 2)
+
+
+def test_sources_that_fail_are_tried_again():
+    from loomgraph.streaming.ingest import ingest_sources
+
+    calls = {"good": 0, "once": 0, "never": 0}
+
+    def job(name, fails):
+        def run():
+            calls[name] += 1
+            if calls[name] <= fails:
+                raise ValueError(name)
+
+        return run
+
+    assert ingest_sources({"good": job("good", 0), "once": job("once", 1), "never": job("never", 99)}) == {"never": "ValueError: never"}
+    assert calls == {"good": 1, "once": 2, "never": 3}

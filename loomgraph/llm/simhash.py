@@ -104,7 +104,8 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     ]
     variants = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
     shared = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(variants.join(shared, "key"))
+    # by size Spark takes the exploded variants for as small as `prints` and would send them all through the driver
+    members = materialize(variants.hint("merge").join(shared, "key"))
 
     group = members.where(F.col("n") <= PAIRED).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     near = group.select("fps", F.explode("fps").alias("src")).select(

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import minhash, simhash
 
@@ -58,3 +59,11 @@ def test_groups_equal_brute_force(spark, monkeypatch, paired, tile):
     rows = list(enumerate(texts))
     got = {x.doc_id: x.component_id for x in minhash.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == by_force(rows)
+
+
+def test_variants_are_not_broadcast(spark, monkeypatch):
+    plans, materialize = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or materialize(df))
+    prints = spark.range(100).select(F.col("id").alias("fp"))
+    assert simhash.links(materialize(prints)).count()
+    assert "Generate" in plans[0] and "BroadcastExchange" not in plans[0]

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +68,31 @@ def test_variants_are_not_broadcast(spark, monkeypatch):
     prints = spark.range(100).select(F.col("id").alias("fp"))
     assert simhash.links(materialize(prints)).count()
     assert "Generate" in plans[0] and "BroadcastExchange" not in plans[0]
+
+
+@pytest.mark.parametrize("n_left", [1, 60, 120])
+def test_a_tile_returns_what_connects_it(n_left):
+    r, n = random.Random(n_left), 120
+    base = text(r, 300)
+    sets = [minhash.shingle_set(" ".join(edited(r, base, k % 12)).encode()) for k in range(n)]
+    exact = [set(h.tolist()) for h in sets]
+    side = [0 if k < n_left else 1 for k in range(n)]
+    ids = [b"%04d" % k for k in range(n)]
+    for known in (None, [b"%04d" % (k // 5 * 5) for k in range(n)]):
+        table = pa.table({"set": pa.array(ids, pa.binary()), "side": side, "hashes": pa.array([h.tobytes() for h in sets], pa.binary())})
+        table = table if known is None else table.append_column("known", pa.array(known, pa.binary()))
+        edges = minhash._compare(0.8)(table)
+        assert 0 < edges.num_rows < len(set(known or ids))
+        right = [k for k in range(n) if side[k]] or range(n)
+        linked = [(ids[i], ids[j]) for i in range(n_left) for j in right if 10 * len(exact[i] & exact[j]) >= 8 * len(exact[i] | exact[j])]
+        assert len(set(linked)) > n or n_left == 1
+        joined = list(zip(ids, known or ids, strict=True))
+        assert components(ids, [*zip(edges["src"].to_pylist(), edges["dst"].to_pylist(), strict=True), *joined]) == components(ids, linked + joined)
+
+
+def components(ids, pairs):
+    label = {i: i for i in ids}
+    for a, b in pairs:
+        old, new = max(label[a], label[b]), min(label[a], label[b])
+        label = {i: new if x == old else x for i, x in label.items()}
+    return label

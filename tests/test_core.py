@@ -51,6 +51,13 @@ def test_features_take_a_single_word_author_as_a_handle(spark):
     assert R.features(rows).first().handle == "alice"
 
 
+@pytest.mark.parametrize(("later", "want"), [("2024-01-16 10:00:00.300001", 15), ("2024-01-16 10:00:00.3", 15), ("2024-01-16 10:00:00.299999", 14), ("2024-01-01 10:00:00.299999", -1)])
+def test_days_between_counts_parts_of_a_second(spark, later, want):
+    """The seconds of the third pair are 15 days apart, its times aren't."""
+    at = lambda x: F.to_timestamp(F.lit(x))
+    assert spark.range(1).select(T.days_between(at(later), at("2024-01-01 10:00:00.3")).alias("r")).first().r == want
+
+
 def pair_score(spark, a, b, roster=None, sentence=None, dates=(None, None)):
     rows = [(1, *a, "d1" if sentence is None else "d", "s", sentence, dates[0]), (2, *b, "d2" if sentence is None else "d", "s", sentence, dates[1])]
     rec = spark.createDataFrame(rows, "rid long, kind string, raw string, doc_id string, source_system string, sentence_ord int, asserted_at string").withColumn("asserted_at", F.to_timestamp("asserted_at"))

@@ -135,14 +135,23 @@ def multihop_claims(questions: DataFrame, keys: DataFrame, claims: DataFrame, ma
 
 
 def paths(starts: DataFrame, targets: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """(src, dst, hops, path): one shortest path (the least) from each start (key) to each target (key)."""
+    """(src, dst, hops, path): one shortest path (the least) from each start (key) to each target (key).
+
+    A hop only follows edges to vertices from which a target can still be
+    reached in the hops that are left; what is on a shortest path always can.
+    """
     both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    goals = targets.select(F.col("key").alias("at")).distinct()
+    near = [goals]  # by the hops that are left
+    for _ in range(1, max_hops):
+        near.append(materialize(near[-1].unionAll(both.join(near[-1], F.col("dst") == F.col("at"), "left_semi").select(F.col("src").alias("at"))).distinct()))
     at = starts.select(F.col("key").alias("from"), F.col("key").alias("at"), F.array("key").alias("path")).distinct()
     seen, out = at.select("from", "at"), None
     for hop in range(1, max_hops + 1):
-        step = at.join(both, F.col("at") == F.col("src")).select("from", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+        useful = both.join(near[max_hops - hop].select(F.col("at").alias("dst")), "dst", "left_semi")
+        step = at.join(useful, F.col("at") == F.col("src")).select("from", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
         at = step.join(seen, ["from", "at"], "left_anti").groupBy("from", "at").agg(F.min("path").alias("path"))
-        hit = at.join(targets.select(F.col("key").alias("at")).distinct(), "at", "left_semi").select(F.col("from").alias("src"), F.col("at").alias("dst"), F.lit(hop).alias("hops"), "path")
+        hit = at.join(goals, "at", "left_semi").select(F.col("from").alias("src"), F.col("at").alias("dst"), F.lit(hop).alias("hops"), "path")
         out = hit if out is None else out.unionByName(hit)
         seen = seen.unionAll(at.select("from", "at"))
     return out

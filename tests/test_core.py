@@ -268,3 +268,15 @@ def test_sources_that_fail_are_tried_again():
 
     assert ingest_sources({"good": job("good", 0), "once": job("once", 1), "never": job("never", 99)}) == {"never": "ValueError: never"}
     assert calls == {"good": 1, "once": 2, "never": 3}
+
+
+def test_paths_through_a_hub_do_not_visit_its_other_neighbours(spark, monkeypatch):
+    """Leaves h0..h99 around a hub, a target behind it: each leaf's walk takes two steps, not one to every leaf."""
+    leaves = [f"h{k}" for k in range(100)]
+    edges = spark.createDataFrame([(x, "hub") for x in leaves] + [("hub", "t"), ("h0", "a"), ("a", "t")], "src string, dst string")
+    starts, walked = spark.createDataFrame([(x,) for x in leaves], "key string"), []
+    group = type(starts).groupBy
+    monkeypatch.setattr(type(starts), "groupBy", lambda df, *c: (walked.append(df) if c == ("from", "at") else None, group(df, *c))[1])
+    got = {tuple(r.path) for r in Q.paths(starts, spark.createDataFrame([("t",)], "key string"), edges, 2).collect()}
+    assert got == {(x, "hub", "t") for x in leaves[1:]} | {("h0", "a", "t")}
+    assert sum(df.count() for df in walked) <= 2 * len(leaves) + 2

@@ -305,3 +305,14 @@ def test_bm25_writes_counts_of_terms_not_of_documents(spark, monkeypatch):
         want |= {(q, i, r) for r, (_, i) in enumerate(sorted((-round(s, 9), i) for i, s in score.items() if s > 0)[:5], 1)}
     assert {(r.query_id, r.doc_id, r["rank"]) for r in got} == want
     assert sum(written) <= 51 + 6
+
+
+def test_candidate_pairs_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    """Five buckets of 100 records, one of 251 and one of one: 24,750 pairs, at 1,000 a task on the average."""
+    monkeypatch.setattr(R, "PER_TASK", 1000, raising=False)
+    rows = [(100 * b + k, "doc", f"d{b}") for b in range(5) for k in range(100)] + [(k, "surname", "lee") for k in range(251)] + [(7, "email", "x"), (1, "handle", "h"), (2, "handle", "h")]
+    pairs = R.candidate_pairs(spark.createDataFrame(rows, "rid long, key_name string, key string"))
+    got = {(r.i, r.j): r["keys"] for r in pairs.collect()}
+    want = {(i, j): ["doc"] for b in range(5) for i in range(100 * b, 100 * b + 100) for j in range(i + 1, 100 * b + 100)}
+    assert got == want | {(1, 2): ["doc", "handle"]}
+    assert pairs.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0] <= 3000

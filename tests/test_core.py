@@ -316,3 +316,14 @@ def test_candidate_pairs_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
     want = {(i, j): ["doc"] for b in range(5) for i in range(100 * b, 100 * b + 100) for j in range(i + 1, 100 * b + 100)}
     assert got == want | {(1, 2): ["doc", "handle"]}
     assert pairs.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0] <= 3000
+
+
+def test_functions_of_columns_get_slices_of_a_batch(spark):
+    """64 texts of 100 KB are one batch; the function sees about 1 MB at a time, in order."""
+    import pandas as pd
+
+    from loomgraph.runtime import vectorized
+
+    seen = vectorized("struct<n:long,text:string>")(lambda s: pd.DataFrame({"n": [len(s)] * len(s), "text": s.str[:2]}))
+    rows = spark.range(0, 64, 1, 1).select(F.concat(F.lpad(F.col("id").cast("string"), 2, "0"), F.repeat(F.lit("x"), 100_000)).alias("text")).select(seen(F.col("text")).alias("r"), F.substring("text", 1, 2).alias("t")).collect()
+    assert max(r.r.n for r in rows) <= 10 and all(r.r.text == r.t for r in rows)
